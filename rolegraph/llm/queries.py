@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 
 from rolegraph.llm import chat as _chat
 from rolegraph.llm import exact_dedup as _dedup
+from rolegraph.llm import packing as _packing
+from rolegraph.llm import token_files as _tokens
+
+#: Folder of the public tokenizers' files; None: the installed package that ships them.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS is not None:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +39,14 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens.token_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = "</s>[INST] ok [/INST]"
@@ -55,7 +76,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op10_chat)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_packing, op9_token_files, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
