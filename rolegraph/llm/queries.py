@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegraph.llm import chat as _chat
+from rolegraph.llm import decontaminate as _decontaminate
 from rolegraph.llm import exact_dedup as _dedup
+from rolegraph.llm import jaccard as _jaccard
 from rolegraph.llm import packing as _packing
+from rolegraph.llm import secrets as _secrets
 from rolegraph.llm import token_files as _tokens
 
 #: Folder of the public tokenizers' files; None: the installed package that ships them.
@@ -43,6 +46,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def secret_report(docs: DataFrame) -> DataFrame:
+    found = _secrets.find_secrets(docs)
+    base = F.filter("spans", lambda s: s["kind"] < _secrets.BASE)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{_secrets.KINDS[k][0]}") for k in range(_secrets.BASE)]
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *counts, F.sha2(_secrets.joined(base), 256).alias("base_sha256"), _secrets.joined(F.col("spans")).alias("spans"), live)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -76,7 +100,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_packing, op9_token_files, op10_chat)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_jaccard, op7_decontaminate, op8_secrets, op9_token_files, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
