@@ -47,7 +47,7 @@ def windows(words: Words, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray,
     doc = np.repeat(np.arange(len(made)), made)
     place = np.arange(len(doc)) - np.repeat(np.concatenate(([0], np.cumsum(made)[:-1])), made)
     at = first[:-1][doc] + place
-    acc = np.full(len(at), np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64)
+    acc = np.full(len(at), np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)), dtype=np.uint64)
     for i in _on(mask):
         acc += words.hashes[at + i] * _STEP[i % 4096]
     return mix64(acc), doc, place

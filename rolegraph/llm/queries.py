@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegraph.llm import chat as _chat
 from rolegraph.llm import decontaminate as _decontaminate
 from rolegraph.llm import exact_dedup as _dedup
+from rolegraph.llm import hmm as _hmm
 from rolegraph.llm import jaccard as _jaccard
+from rolegraph.llm import langid as _langid
 from rolegraph.llm import packing as _packing
 from rolegraph.llm import secrets as _secrets
 from rolegraph.llm import token_files as _tokens
+from rolegraph.llm import toxicity as _toxicity
 
 #: Folder of the public tokenizers' files; None: the installed package that ships them.
 TOKENIZERS: str | None = None
@@ -42,6 +45,21 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def fold(key: str, of: int) -> Column:
+    """The row's fold: CRC-32 of the key as text, modulo `of`."""
+    return F.crc32(F.col(key).cast("string")) % of
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), learn=fold("doc_id", 5) != 0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _hmm.score_lm(_read(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -50,6 +68,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = _langid.predict_lang(docs, _langid.fit_langid(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -100,7 +124,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_packing, op5_jaccard, op7_decontaminate, op8_secrets, op9_token_files, op10_chat)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_hmm, op4_packing, op5_jaccard, op6_langid, op7_decontaminate, op8_secrets, op9_token_files, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

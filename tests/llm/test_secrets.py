@@ -5,7 +5,7 @@ from rolegraph.llm import secrets as M
 from rolegraph.llm.queries import secret_report
 
 BASE = (
-    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
 )
