@@ -44,6 +44,10 @@ K = 15
 #: Weight of the share of toxic examples in a vote, against cosines of at most 1.
 PRIOR = 0.25
 REMEMBER = 50_000
+#: Blocks that are scored before the first look at the bounds.
+FIRST = 8
+#: Rows of a scoring task: the vectors are small, the search in them isn't.
+TASK_ROWS = 16_000
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,25 +141,33 @@ class Index:
         """The K examples of greatest cosine, and the cosines; `leave` is an example that doesn't count."""
         bound = w @ self.most[places]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, cos = np.zeros(0, np.int64), np.zeros(0)
-        for g in range(0, len(order), 4):
-            if len(cos) >= K and bound[order[g]] < cos[K - 1] - 1e-9:
+        order = order[: np.count_nonzero(bound > 0)]
+        at, cos, done = np.zeros(0, np.int64), np.zeros(0), 0
+        while done < len(order):
+            # a few blocks first, then all whose bound reaches the K-th best cosine so far
+            upto = done + FIRST if len(cos) < K else int(np.count_nonzero(bound[order] >= cos[K - 1] - 1e-9))
+            if upto <= done:
                 break
-            acc = np.zeros((min(4, len(order) - g), BLOCK))
-            for r, block in enumerate(order[g : g + 4].tolist()):
-                for p, x in zip(places.tolist(), w.tolist()):
-                    s, e = self.start[p * self.blocks + block], self.start[p * self.blocks + block + 1]
-                    if s < e:
-                        acc[r, self.local[s:e]] += x * self.weight[s:e]
-            r, c = np.nonzero(acc > 0)
-            new = order[g + r] * BLOCK + c
+            new, got = self._scored(places, w, order[done:upto])
+            done = min(upto, len(order))
             keep = new != leave
-            at, cos = np.concatenate((at, new[keep])), np.concatenate((cos, np.round(acc[r, c][keep], 12)))
+            at, cos = np.concatenate((at, new[keep])), np.concatenate((cos, np.round(got[keep], 12)))
             top = np.lexsort((at, -cos))[:K]
             at, cos = at[top], cos[top]
         return at, cos
 
+    def _scored(self, places: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks that share a term, and their cosines."""
+        cell = (places[:, None] * self.blocks + blocks).ravel()
+        s, n = self.start[cell], self.start[cell + 1] - self.start[cell]
+        total = np.cumsum(n)
+        take = np.repeat(s - total + n, n) + np.arange(total[-1])
+        column = np.tile(np.arange(len(blocks)), len(places))
+        slot = np.repeat(column * BLOCK, n) + self.local[take]
+        acc = np.bincount(slot, np.repeat(np.repeat(w, len(blocks)), n) * self.weight[take], minlength=len(blocks) * BLOCK)
+        hit = np.flatnonzero(acc > 0)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, acc[hit]
+
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         return float((cos @ self.labels[at] + PRIOR * self.share) / (cos.sum() + PRIOR))
 
@@ -263,4 +275,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
         df[r.place] = r.df
     examples = sorted((r.doc_id, r.label, bytes(r.places), bytes(r.counts)) for r in vectors.join(known, "doc_id").select("doc_id", "label", "places", "counts").toLocalIterator())
     index = build_index(examples, np.log((n + 1) / (df + 1)) + 1e-3)
-    return vectors.mapInArrow(_score(spark.sparkContext.broadcast(index)), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+    return vectors.repartition(-(-n // TASK_ROWS) or 1).mapInArrow(_score(spark.sparkContext.broadcast(index)), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
