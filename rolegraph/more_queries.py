@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rolegraph.functions.sniff import sniff
+from rolegraph.ingest.stage import chunk_texts
+from rolegraph.operators.health import degrees
 from rolegraph.operators.duplicates import sweep
 from rolegraph.sources.commerce import commerce
 
@@ -14,9 +19,45 @@ def dup_candidates_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep(commerce(spark, sf_dir), ["part"])
 
 
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of file each page would be, by its bytes."""
+
+    @F.pandas_udf("string")
+    def kind(html: pd.Series) -> pd.Series:
+        return html.map(lambda t: sniff((t or "").encode(), "page.html"))
+
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", kind("html").alias("kind"))
+
+
+def stage_sha_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that staging would take once, and how often they come."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes have each degree over all edge types."""
+    return degrees(commerce(spark, sf_dir)).groupBy("degree").agg(F.count("*").alias("nodes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (dup_candidates_parts,)}
+    return {f.__name__: f for f in (dup_candidates_parts, chunk_documents, sniff_pages, stage_sha_dedup, node_degrees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "chunk_documents": CHUNKS_SQL,
+        "stage_sha_dedup": "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1",
+    }
+
+
+#: The documents are single paragraphs without headings: chunks are cuts of 2400 signs.
+CHUNKS_SQL = """
+SELECT doc_id, CAST(k AS INTEGER) AS ord, CAST(k * 2400 + lead AS BIGINT) AS "offset", CAST(least(2400, length(t) - k * 2400) AS BIGINT) AS n_chars
+FROM (SELECT doc_id, trim(text, E' \\t\\n\\r\\x0b\\x0c') AS t, 0 AS lead FROM documents), range(0, 1000) r(k)
+WHERE k * 2400 < length(t) AND length(t) > 0
+"""
