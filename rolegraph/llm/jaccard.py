@@ -73,12 +73,13 @@ def _profile(width: int):
     names = ["kind", "doc_id", "n", "class", "keys", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(COUNTERS, dtype=np.int64), [], 0
+        counts, held, size = np.zeros(COUNTERS, dtype=np.int32), [], 0
 
         def add() -> None:
             nonlocal size
             if held:
-                counts[:] += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                place, n = np.unique((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int32), return_counts=True)
+                counts[place] += n.astype(np.int32)
             held.clear()
             size = 0
 
@@ -93,7 +94,7 @@ def _profile(width: int):
                         keys[full, k] = np.minimum.reduceat(sets * _SALT[k], begin[:-1][full])
                 held.append(sets)
                 size += len(sets)
-                if size > COUNTERS:
+                if size > COUNTERS >> 3:
                     add()
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(int64(_class_ids(sets, begin))), pa.array(list(int64(keys)), pa.list_(pa.int64())), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
         add()
