@@ -23,7 +23,7 @@ def _scalar(col: Column, kind: str, op: str, value: object) -> Column:
         return F.contains(text, F.lit(fold(_python_text(value))))
     if isinstance(value, str) or kind == "str":
         if not isinstance(value, str) or kind != "str":  # types differ
-            return F.lit(op == "!=")
+            return F.when(col.isNotNull(), F.lit(op == "!="))
         return getattr(folded(col), _TESTS[op])(F.lit(fold(value)))
     if kind == "bool":
         col = col.cast("int")
@@ -39,12 +39,12 @@ def _python_text(value: object) -> str:
 
 
 def clause(col: Column, kind: str, multi: bool, op: str, value: object) -> Column:
-    """One comparison, never null: an absent value satisfies `= none` only."""
+    """One comparison; an absent value satisfies `= none` only, and gives null elsewhere, which filters and their OR of ANDs take as false."""
     empty = col.isNull() | (F.size(col) == 0) if multi else col.isNull()
     if value is T.ABSENT:
         return empty if op == "=" else ~empty
     if not multi:
-        return F.coalesce(_scalar(col, kind, op, value), F.lit(False))
+        return _scalar(col, kind, op, value)  # bare, so that it reaches the scan
     if op in ("=", "contains"):
         test = F.exists(col, lambda x: F.coalesce(_scalar(x, kind, op, value), F.lit(False)))
     elif op == "!=":
