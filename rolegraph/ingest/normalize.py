@@ -90,7 +90,8 @@ def _docx(name: str, data: bytes) -> Envelope:
     root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
     text = lambda el: "".join(t.text or "" for t in el.iter(f"{w}t"))
     out, env = [], Envelope("docx")
-    for el in root.find(f"{w}body") or []:
+    body = root.find(f"{w}body")
+    for el in [] if body is None else list(body):
         if el.tag == f"{w}p":
             style = el.find(f"{w}pPr/{w}pStyle")
             level = re.fullmatch(r"Heading(\d)", style.get(f"{w}val", "")) if style is not None else None
