@@ -8,8 +8,8 @@ all documents estimates it, and then by hash: any order that all documents share
 one puts what many documents hold last.  Two sets that reach the similarity meet in the first
 n - ceil(t n) + 1 shingles of each (their prefix), at places that leave room for the overlap.
 
-Groups.  Classes that share a minimum hash are compared with the smallest class among them, which
-makes stars of verified links; what stars connect is a group of similar documents, cut into parts of
+Groups.  Classes that share half their minimum hashes with the smallest class among those that share
+one are compared with it, which makes stars of verified links; what stars connect is a group of similar documents, cut into parts of
 about GROUP classes.
 
 Matrix.  A row is a shingle of a prefix, its columns are the groups that hold it.  A class asks the
@@ -219,10 +219,13 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         got = keep_ids(rows, ids, "left_semi").mapInArrow(_sets(width), "class long, set binary")
         return written(got.dropDuplicates(["class"]), "jaccard-sets")
 
-    # groups: stars around the smallest class of each minimum hash
-    keyed = classes.select("class", F.posexplode("keys").alias("k", "hash"))
-    stars = keyed.groupBy("k", "hash").agg(F.min("class").alias("b"), F.count("*").alias("c")).where("c > 1").select("k", "hash", "b")
-    pairs = written(keyed.join(stars, ["k", "hash"]).where("class <> b").select(F.col("class").alias("a"), "b").distinct(), "jaccard-stars")
+    # groups: stars around the smallest class of each minimum hash, where half the minimum hashes agree
+    keyed = classes.select("class", "n", "keys", F.posexplode("keys").alias("k", "hash"))
+    stars = keyed.groupBy("k", "hash").agg(F.min(F.struct("class", "n", "keys")).alias("p"), F.count("*").alias("c")).where("c > 1").select("k", "hash", "p")
+    agree = F.size(F.filter(F.arrays_zip(F.col("keys").alias("x"), F.col("p.keys").alias("y")), lambda z: z["x"] == z["y"]))
+    fit = (F.col("n") * PER >= F.col("p.n") * TIMES) & (F.col("p.n") * PER >= F.col("n") * TIMES)
+    pairs = keyed.join(stars, ["k", "hash"]).where((F.col("class") != F.col("p.class")) & fit & (agree * 2 >= KEYS))
+    pairs = written(pairs.select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct(), "jaccard-stars")
     sets = sets_of(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
     met = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     edges = written(met.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"), "jaccard-edges")
