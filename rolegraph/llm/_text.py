@@ -7,7 +7,8 @@ does not follow the size of a batch or a partition.  Words are maximal runs of b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
+#: Called when a batch is done: caches that can tell whether they are still in use.
+on_idle: list[Callable[[], None]] = []
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and an executor's memory is shared."""
+    for f in on_idle:
+        f()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows; a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,6 +95,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) ->
         end = min(max(end, row + 1), rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 class Words:

@@ -13,12 +13,12 @@ import os
 
 import numpy as np
 
-from rolegraph.llm._text import LOWER, Words, mix64, span_hashes, stream
+from rolegraph.llm._text import LOWER, Words, mix64, on_idle, span_hashes, stream
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct units that a worker remembers; beyond it starts afresh, so memory is bounded.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 700_000
 
 _RAW = stream(17, 256)
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
@@ -39,6 +39,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.idle = 0  # batches of other work since the last use
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.full.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -119,6 +120,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice's documents one after another, and where each document's begin."""
+        self.idle = 0
         n, chunks = len(data), Words(data, offsets, hashed=False)
         starts, ends = chunks.starts, chunks.ends
         if not len(starts):
@@ -181,6 +183,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _forget() -> None:
+    """Let go of encoders that this worker's present tasks don't use."""
+    for path, e in list(_encoders.items()):
+        e.idle += 1
+        if e.idle > 2:
+            del _encoders[path]
+
+
+on_idle.append(_forget)
+
+
 def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same documents with one id more at the end of each."""
     docs = len(begin) - 1
