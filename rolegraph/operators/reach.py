@@ -28,15 +28,23 @@ def reach(sources: DataFrame, edges: DataFrame, depart: str, arrive: str, steps:
             levels.append(levels[-1].select("src", F.col("node").alias("__at")).join(hops, F.col("__at") == F.col("__d")).select("src", "node").distinct())
         return reduce(DataFrame.union, levels).distinct()
     hops = stored(hops, "hops")
-    seen = [stored(start.join(hops, F.col("src") == F.col("__d")).select("src", "node"), "reach")]
-    done = 1
-    while steps is None or done < steps:
-        step = seen[-1].select("src", F.col("node").alias("__at")).join(hops, F.col("__at") == F.col("__d")).select("src", "node").distinct()
-        new = stored(step.join(reduce(DataFrame.union, seen), ["src", "node"], "left_anti"), "reach")
-        if new.isEmpty():
-            break
+    seen: list[DataFrame] = []
+    front, left = start.select("src", F.col("src").alias("at")), steps
+    while left is None or left > 0:
+        # several hops a round; what the last of them reaches first is where the next round begins
+        deep = UNROLL if left is None else min(UNROLL, left)
+        levels = [front.join(hops, F.col("at") == F.col("__d")).select("src", "node")]
+        for _ in range(deep - 1):
+            levels.append(levels[-1].distinct().select("src", F.col("node").alias("at")).join(hops, F.col("at") == F.col("__d")).select("src", "node"))
+        found = reduce(DataFrame.union, [x.withColumn("level", F.lit(i + 1)) for i, x in enumerate(levels)]).groupBy("src", "node").agg(F.min("level").alias("level"))
+        if seen:
+            found = found.join(reduce(DataFrame.union, seen).select("src", "node"), ["src", "node"], "left_anti")
+        new = stored(found, "reach")
         seen.append(new)
+        edge = new.where(F.col("level") == deep)
+        if edge.isEmpty():
+            break
+        front, left = edge.select("src", F.col("node").alias("at")), None if left is None else left - deep
         if len(seen) > 16:  # the anti-join reads few tables
-            seen = [stored(reduce(DataFrame.union, seen[:-1]), "reach"), new]
-        done += 1
-    return reduce(DataFrame.union, seen)
+            seen = [stored(reduce(DataFrame.union, seen), "reach")]
+    return reduce(DataFrame.union, seen).select("src", "node")

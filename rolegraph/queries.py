@@ -99,10 +99,23 @@ PROGRAMS: dict[str, tuple[str, str] | tuple[str, str, dict[str, int]]] = {
 }
 
 
+_sessions: dict[tuple[str, str], Session] = {}
+
+
+def _session(spark: SparkSession, sf_dir: str) -> Session:
+    """The registered tables of a folder: registration reads footers and is done once, data is never kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _sessions:
+        if len(_sessions) >= 8:
+            _sessions.clear()
+        _sessions[key] = Session(commerce(spark, sf_dir))
+    return _sessions[key]
+
+
 def _program(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text, _, *rounded = PROGRAMS[name]
-        df = Session(commerce(spark, sf_dir)).df(text)
+        df = _session(spark, sf_dir).df(text)
         for c, n in (rounded[0] if rounded else {}).items():
             df = df.withColumn(c, F.round(c, n))
         return df
