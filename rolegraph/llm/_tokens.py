@@ -108,7 +108,8 @@ class Encoder:
         plain = np.flatnonzero(~odd)
         if len(plain):
             texts = [b" ".join(raw[s:e] for s, e in (spans[i] for i in plain[k : k + 500].tolist())).decode() for k in range(0, len(plain), 500)]
-            ids = np.concatenate([np.array(x.ids, dtype=self.dtype) for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+            # a few at a time: the library keeps much more than ids of what it is encoding
+            ids = np.concatenate([np.array(x.ids, dtype=self.dtype) for k in range(0, len(texts), 8) for x in self.plain.encode_batch_fast(texts[k : k + 8], add_special_tokens=False)])
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) != len(plain):
                 raise RuntimeError("a unit was not encoded on its own")
@@ -173,6 +174,8 @@ class Encoder:
         return ids, sums[np.searchsorted(starts, offsets)]
 
 
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 18
 _encoders: dict[str, Encoder] = {}
 
 

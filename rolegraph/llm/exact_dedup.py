@@ -152,7 +152,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     rows = written(rows, "dedup-rows")
     release(spark, blocks)
     suspects = rows.where("suspect").select("doc_id")
-    suspects._scratch = rows._scratch
     near = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"))
     near = keep_ids(near, suspects.distinct(), "left_semi").withColumn("sha", F.unhex(F.sha2("text", 256)))
     # the bytes decide: one group for each text, rows of a text summed before the shuffle

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._text import text_slices
-from rolegraph.llm._tokens import encoder, with_end
+from rolegraph.llm._tokens import PIECE, encoder, with_end
 
 WIDTH = 2048
 SENTENCE, HARD, EACH = 4, 48, 2
@@ -142,7 +142,7 @@ def _pack(tokenizer: str, end_id: int, width: int):
             return out
 
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), PIECE):
                 ids, begin = with_end(*enc.encode(data, offsets), end_id)
                 held.append((batch.column(0).slice(a, b - a), ids, begin))
                 count += len(ids)

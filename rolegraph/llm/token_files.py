@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.llm._spark import scratch_path, written
 from rolegraph.llm._text import binary_list, text_slices
-from rolegraph.llm._tokens import encoder, with_end
+from rolegraph.llm._tokens import PIECE, encoder, with_end
 
 INDEX_MAGIC, DATA_MAGIC = b"RGTIDX01", b"RGTREC01"
 #: Rows of a shard, about.
@@ -67,7 +67,7 @@ def _encode(path: str, end_id: int, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), PIECE):
                 ids, begin = with_end(*enc.encode(data, offsets), end_id)
                 keys = batch.column(0).slice(a, b - a)
                 shard = np.searchsorted(limits, keys.fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
