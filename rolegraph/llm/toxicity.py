@@ -5,6 +5,10 @@ labelled examples the ones that tell the labels apart (likelihood ratio G of LEA
 label's rate LEAST_RATIO times the other's; at most TERMS of them) span the space; document frequencies are counted over all documents.  A text's vector
 is (1 + log tf) * idf, of length 1.
 
+A text without any of those terms has a vector over the whole vocabulary instead, which is all terms
+of the labelled examples, and its neighbours are searched among the examples' vectors over that
+vocabulary (Whole); the votes of such texts have a calibration of their own.
+
 The examples' vectors form an inverted index in blocks of BLOCK examples, with each term's greatest
 weight in each block.  For a text, the sum of its weights times those maxima bounds the cosine with
 any example of a block; blocks are scored in falling order of their bounds until no bound reaches the
@@ -15,8 +19,8 @@ fitted on the examples' own votes with themselves left out.
 Examples are at most about PER_LABEL of each label, drawn by a hash of the key; that bound holds the
 index at a size that may be broadcast.
 
-Defined cases: a null or empty text, and any other without a term of the space, has the score of the
-examples without one; with no labelled example of either label every score is the share of toxic ones
+Defined cases: a null or empty text, and any other without a term of the vocabulary, has the share of
+toxic ones among the examples without a term of the space; with no labelled example of either label every score is the share of toxic ones
 (0 without labels); rows of several labels take the largest; repeated rows are scored each; an empty
 table gives an empty result; label, language, source and key are never inputs of a score.
 """
@@ -28,11 +32,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._spark import written
-from rolegraph.llm._text import Words, int64, span_hashes, text_slices
+from rolegraph.llm._text import Words, binary_list, int64, span_hashes, text_slices
 
 PREFIXES = (4, 5, 6)
 PER_LABEL = 8_000
@@ -48,6 +53,11 @@ REMEMBER = 50_000
 FIRST = 8
 #: Rows of a scoring task: the vectors are small, the search in them isn't.
 TASK_ROWS = 16_000
+#: Terms of most examples whose weights are a dense matrix, and texts that are multiplied by it at once.
+DENSE = 256
+AT_ONCE = 64
+#: Tasks that the examples' own votes are spread over.
+EXAMPLE_TASKS = 24
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +126,171 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "df"])
 
 
+def counted(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' terms in the vocabulary: places and counts, and where each text's begin."""
+    h, doc = terms_of(data, offsets)
+    if not len(vocabulary):
+        h, doc = h[:0], doc[:0]
+    order = np.argsort(h)
+    h, doc = h[order], doc[order]
+    at = np.searchsorted(vocabulary, h)
+    at[at == len(vocabulary)] = 0
+    hit = vocabulary[at] == h
+    key, count = np.unique(doc[hit] * (len(vocabulary) + 1) + at[hit], return_counts=True)
+    return key % (len(vocabulary) + 1), count, np.searchsorted(key // (len(vocabulary) + 1), np.arange(len(offsets)))
+
+
+def _document_frequencies(vocabulary):
+    """(place, df): in how many texts of a task each term of the vocabulary occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary.value), dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                total += np.bincount(counted(data, offsets, vocabulary.value)[0], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "df"])
+
+    return run
+
+
+def _counted(vocabulary):
+    """(doc_id, label, places as uint32, counts as uint16) of every example over the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(2)):
+                place, count, begin = counted(data, offsets, vocabulary.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), binary_list(place.astype(np.uint32), begin), binary_list(np.minimum(count, 65535).astype(np.uint16), begin)], names=["doc_id", "label", "places", "counts"])
+
+    return run
+
+
+@dataclass
+class Whole:
+    """The examples' vectors over the whole vocabulary: the terms of most examples as a matrix, postings of the others."""
+
+    vocabulary: np.ndarray  # ascending hashes
+    idf: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    dense: np.ndarray  # of a term: its row of the matrix, or -1
+    matrix: np.ndarray
+    start: np.ndarray  # postings of a term
+    example: np.ndarray
+    count: np.ndarray  # of the term in the example
+    norm: np.ndarray  # of an example's weights
+    share: float = 0.0
+
+    @staticmethod
+    def of(vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, place: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> Whole:
+        """place, count: the examples' terms one after the other; sizes: how many each has."""
+        df = np.bincount(place, minlength=len(vocabulary))
+        most = np.argsort(-df, kind="stable")[:DENSE]
+        dense = np.full(len(vocabulary), -1, dtype=np.int16)
+        dense[most] = np.arange(len(most))
+        df[most] = 0
+        matrix, norm = np.zeros((len(most), len(ids))), np.ones(len(ids))
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        for i in range(len(ids)):
+            some = slice(begin[i], begin[i + 1])
+            weight, row = (1 + np.log(count[some])) * idf[place[some]], dense[place[some]]
+            norm[i] = np.sqrt((weight * weight).sum()) or 1.0
+            matrix[row[row >= 0], i] = weight[row >= 0]
+        rest = dense[place] < 0
+        example = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[rest]
+        order = np.argsort(place[rest], kind="stable")
+        return Whole(vocabulary, idf, ids, labels, dense, matrix, np.concatenate(([0], np.cumsum(df))), example[order], count[rest][order], norm, float(labels.mean()) if len(ids) else 0.0)
+
+    def neighbours(self, place: np.ndarray, count: np.ndarray, begin: np.ndarray, leave: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the K examples of greatest cosine above 0 and the cosines; `leave` has the id that doesn't count for each."""
+        weight = (1 + np.log(count)) * self.idf[place]
+        for first in range(0, len(begin) - 1, AT_ONCE):
+            last = min(first + AT_ONCE, len(begin) - 1)
+            s, e = begin[first], begin[last]
+            text, row = np.repeat(np.arange(last - first), np.diff(begin[first : last + 1])), self.dense[place[s:e]]
+            norm = np.sqrt(np.bincount(text, weight[s:e] ** 2, minlength=last - first))
+            query = np.zeros((last - first, len(self.matrix)))
+            query[text[row >= 0], row[row >= 0]] = weight[s:e][row >= 0]
+            scores = query @ self.matrix
+            for i in range(first, last):
+                acc = scores[i - first]
+                some = slice(begin[i], begin[i + 1])
+                p, w = place[some], weight[some]
+                n = self.start[p + 1] - self.start[p]
+                p, w, n = p[n > 0], w[n > 0], n[n > 0]
+                if len(p):
+                    total = np.cumsum(n)
+                    take = np.repeat(self.start[p] - total + n, n) + np.arange(total[-1])
+                    acc += np.bincount(self.example[take], np.repeat(w * self.idf[p], n) * (1 + np.log(self.count[take])), minlength=len(acc))
+                acc /= self.norm
+                if leave is not None:
+                    acc[self.ids == leave[i]] = 0
+                acc = np.round(acc / norm[i - first], 10) if norm[i - first] else acc
+                at = np.flatnonzero(acc >= np.partition(acc, -K)[-K]) if len(acc) > K else np.arange(len(acc))
+                at = at[acc[at] > 0]
+                at = at[np.lexsort((at, -acc[at]))[:K]]
+                yield at, acc[at]
+
+    def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
+        return float((cos @ self.labels[at] + PRIOR * self.share) / (cos.sum() + PRIOR))
+
+
+def _score_bare(space, shared, curve: tuple[float, float] | None = None, empty: float = 0.0):
+    """Texts without a term of the space: (doc_id, score, evidence), or (label, vote) of examples, themselves left out, where there is no curve yet."""
+    calibrate = curve is None
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: Whole = shared.value
+        # a term of the space is a term of the vocabulary, so bare texts are told by places
+        chosen = np.zeros(len(whole.vocabulary) + 1, dtype=bool)
+        chosen[np.searchsorted(whole.vocabulary, space.value)] = True
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                place, count, begin = counted(data, offsets, whole.vocabulary)
+                held = np.concatenate(([0], np.cumsum(chosen[place])))
+                bare = np.flatnonzero(held[begin[1:]] == held[begin[:-1]])
+                sizes = np.diff(begin)
+                keep = np.repeat(held[begin[1:]] == held[begin[:-1]], sizes)
+                place, count, begin = place[keep], count[keep], np.concatenate(([0], np.cumsum(sizes[bare])))
+                ids = batch.column(0).slice(a, b - a).take(pa.array(bare))
+                found = whole.neighbours(place, count, begin, ids.to_numpy(zero_copy_only=False) if calibrate else None)
+                if calibrate:
+                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a).take(pa.array(bare)), pa.array([whole.vote(*x) for x in found], pa.float64())], names=["label", "vote"])
+                    continue
+                score, evidence = [], []
+                for i, (at, cos) in enumerate(found):
+                    score.append(curved(curve, whole.vote(at, cos)) if begin[i + 1] > begin[i] else empty)
+                    evidence.append([{"doc_id": int(whole.ids[j]), "label": int(whole.labels[j]), "cosine": float(c)} for j, c in zip(at[:3], cos[:3])])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+
+    return run
+
+
+def curved(curve: tuple[float, float], vote: float) -> float:
+    """The calibrated score of a vote."""
+    v = min(max(vote, 1e-6), 1 - 1e-6)
+    return float(1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(v / (1 - v))))))
+
+
+def fitted(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The logistic curve of the labels over the votes' log odds."""
+    votes = votes.clip(1e-6, 1 - 1e-6)
+    x = np.log(votes / (1 - votes))
+    a, b = 0.0, 1.0
+    for _ in range(50):  # Newton steps on the logistic likelihood, held near the identity
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        v = p * (1 - p)
+        g = np.array([(y - p).sum() - a * 0.5, ((y - p) * x).sum() - (b - 1) * 0.5])
+        h = np.array([[v.sum() + 0.5, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.5]])
+        step = np.linalg.solve(h, g)
+        a, b = a + step[0], b + step[1]
+        if abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
 @dataclass
 class Index:
     """Labelled examples with a block-max inverted index."""
@@ -175,8 +350,7 @@ class Index:
         if not len(places):
             return self.empty, np.zeros(0, np.int64), np.zeros(0)
         at, cos = self.neighbours(places, self.vector(places, counts))
-        v = min(max(self.vote(at, cos), 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log(v / (1 - v)))))), at, cos
+        return curved(self.curve, self.vote(at, cos)), at, cos
 
 
 def build_index(rows: list[tuple[int, int, bytes, bytes]], idf: np.ndarray) -> Index:
@@ -199,19 +373,7 @@ def build_index(rows: list[tuple[int, int, bytes, bytes]], idf: np.ndarray) -> I
     index.start = np.searchsorted(key[order], np.arange(len(idf) * index.blocks + 1))
     index.most = np.zeros((len(idf), index.blocks))
     np.maximum.at(index.most.ravel(), key, weight)
-    votes = np.array([index.vote(*index.neighbours(x[2], index.vector(x[2], x[3]), leave=i)) for i, x in enumerate(full)]).clip(1e-6, 1 - 1e-6)
-    x, y = np.log(votes / (1 - votes)), index.labels
-    a, b = 0.0, 1.0
-    for _ in range(50):  # Newton steps on the logistic likelihood, held near the identity
-        p = 1 / (1 + np.exp(-(a + b * x)))
-        v = p * (1 - p)
-        g = np.array([(y - p).sum() - a * 0.5, ((y - p) * x).sum() - (b - 1) * 0.5])
-        h = np.array([[v.sum() + 0.5, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.5]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-9:
-            break
-    index.curve = (float(a), float(b))
+    index.curve = fitted(np.array([index.vote(*index.neighbours(x[2], index.vector(x[2], x[3]), leave=i)) for i, x in enumerate(full)]), index.labels)
     return index
 
 
@@ -257,7 +419,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     alike = rows.join(known, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"])  # copies count once
     counts = alike.select("label", "text").mapInArrow(_label_counts, "term long, toxic long, other long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).where("t + o >= 4")
+    counts = written(counts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")), "toxic-terms")
+    vocabulary = np.sort(counts.select("term").toArrow()["term"].to_numpy().view(np.uint64))  # bounded as the examples are
+    counts = counts.where("t + o >= 4")
     pos, neg = (float(min(PER_LABEL, sizes.get(y, 0)) or 1) for y in (1, 0))
     part_of = lambda k, n, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * rate))).otherwise(0.0)
     rate = (F.col("t") + F.col("o")) / (pos + neg)
@@ -275,4 +439,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
         df[r.place] = r.df
     examples = sorted((r.doc_id, r.label, bytes(r.places), bytes(r.counts)) for r in vectors.join(known, "doc_id").select("doc_id", "label", "places", "counts").toLocalIterator())
     index = build_index(examples, np.log((n + 1) / (df + 1)) + 1e-3)
-    return vectors.repartition(-(-n // TASK_ROWS) or 1).mapInArrow(_score(spark.sparkContext.broadcast(index)), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+    rows_kind = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>"
+    scored = vectors.where("length(places) > 0").repartition(-(-n // TASK_ROWS) or 1).mapInArrow(_score(spark.sparkContext.broadcast(index)), rows_kind)
+
+    words = spark.sparkContext.broadcast(vocabulary)
+    df = np.zeros(len(vocabulary), dtype=np.int64)
+    found = rows.select("text").mapInArrow(_document_frequencies(words), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+    df[found["place"].to_numpy()] = found["df"].to_numpy()
+    marked = rows.join(known, "doc_id")
+    examples = marked.select("doc_id", "label", "text").mapInArrow(_counted(words), "doc_id long, label int, places binary, counts binary").toArrow().combine_chunks()
+    order = np.lexsort((pc.binary_length(examples["places"]).to_numpy(), examples["doc_id"].to_numpy()))
+    examples = examples.take(pa.array(order)).combine_chunks()
+    place, count = (np.frombuffer(b"".join(examples[k].to_pylist()), kind) for k, kind in (("places", np.uint32), ("counts", np.uint16)))
+    ids, label, sizes = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(np.float64), pc.binary_length(examples["places"]).to_numpy() // 4
+    del examples
+    whole = spark.sparkContext.broadcast(Whole.of(vocabulary, np.log((n + 1) / (df + 1)) + 1e-3, ids, label, place, count, sizes))
+    del place, count
+    tried = marked.select("doc_id", "text", "label").repartition(EXAMPLE_TASKS).mapInArrow(_score_bare(shared, whole), "label int, vote double").toArrow()
+    curve = fitted(*(tried[k].to_numpy().astype(np.float64) for k in ("vote", "label")))
+    return scored.union(rows.mapInArrow(_score_bare(shared, whole, curve, index.empty), rows_kind))
