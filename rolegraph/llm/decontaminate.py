@@ -11,7 +11,7 @@ A filter of the benchmark's hashes, FILTER_BYTES at most, lets the document side
 that size it grows less selective and stays exact.  The join with the benchmark's hashes and that
 with its items are ordinary joins, so a benchmark of any size works.
 
-Defined cases: letters A-Z compare in lower case; a null or empty text holds nothing, a null or empty
+Defined cases: letters of every script compare in lower case; a null or empty text holds nothing, a null or empty
 item is held by nothing; items shorter than the masks are found whole and unchanged only; equal items
 are reported each; a document that repeats is reported once per doc_id and item; a null doc_id is a
 key like others; an empty table on either side gives no row; other columns are never read.
@@ -142,8 +142,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, word_at, matched, item_words): the best overlap of each document and item that reach the similarity."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
+    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.lower(item_text).alias("text"))
     tokens = written(items.mapInArrow(_words_column, "id long, words binary").where("length(words) > 0").select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), (F.length("words") / 8).cast("int").alias("n")), "bench-words")
     short = tuple(sorted(r.n for r in tokens.where(F.col("n") < len(MASKS[0])).select("n").distinct().collect()))
     seeds = items.mapInArrow(_seeds(MASKS, short, None), "id long, hash long, place long, words long")

@@ -44,3 +44,10 @@ def test_filter_and_empty(spark, docs, no_docs):
     assert sorted({r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()}, key=str) == [10]
     assert M.contaminated(no_docs, items).count() == 0
     assert M.drop_contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == docs.count()
+
+
+def test_letters_of_every_script_are_folded(spark):
+    item = "la canción número ñandú écoute où été straße übung grün река улица"
+    docs = spark.createDataFrame([(1, "x y " + item.upper().replace("STRASSE", "STRAßE") + " z"), (2, "nothing of it")], "doc_id long, text string")
+    got = M.contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.matched, r.item_words) for r in got] == [(1, 5, 12, 12)]
