@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its rows, at this many bytes each, stay below BROADCAST_BYTES.
@@ -48,6 +48,13 @@ def small_enough(df: DataFrame, row_bytes: int = ID_BYTES, limit: int = BROADCAS
     return df.limit(most + 1).count() <= most
 
 
+def drawn(key: str, take: int, of: int) -> Column:
+    """Whether a row belongs to a sample of about `take` rows out of `of`, by a 64-bit hash of its key."""
+    if of <= take:
+        return F.lit(True)
+    return F.xxhash64(F.col(key).cast("string")) < F.lit((take << 64) // of - (1 << 63)).cast("long")
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """Rows of docs with (left_semi) or without (left_anti) their key in ids; null equals null.
 

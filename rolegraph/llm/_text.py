@@ -1,8 +1,7 @@
 """Vectorised text primitives over Arrow string columns.
 
-Everything works on the UTF-8 bytes of a slice of documents at a time (about a megabyte), so memory
-does not follow the size of a batch or a partition.  Words are maximal runs of bytes outside
-``0x20`` and ``0x09``-``0x0D``; ASCII letters are folded to lower case while hashing.
+Everything works on the UTF-8 bytes of a slice of documents at a time (SLICE_BYTES), so memory does not follow the size of a batch or a partition.  Words are maximal runs of bytes outside
+``0x20`` and ``0x09``-``0x0D``, unless others are given; ASCII letters are folded to lower case while hashing.
 """
 
 from __future__ import annotations
@@ -103,10 +102,10 @@ class Words:
 
     __slots__ = ("starts", "ends", "first", "hashes", "data")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, outside: np.ndarray = SEPARATOR):
         n = len(data)
         self.data = data
-        sep = SEPARATOR[data]
+        sep = outside[data]
         cut = np.empty(n + 1, dtype=bool)  # a separator or the edge of a document stands before i
         cut[0] = cut[n] = True
         cut[1:n] = sep[: n - 1] if n else False

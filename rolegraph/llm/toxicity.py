@@ -1,404 +1,301 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4, 5 and 6 bytes, hashed.  Of those in the
-labelled examples the ones that tell the labels apart (likelihood ratio G of LEAST_G or more, and one
-label's rate LEAST_RATIO times the other's; at most TERMS of them) span the space; document frequencies are counted over all documents.  A text's vector
-is (1 + log tf) * idf, of length 1.
-
-A text without any of those terms has a vector over the whole vocabulary instead, which is all terms
-of the labelled examples, and its neighbours are searched among the examples' vectors over that
-vocabulary (Whole); the votes of such texts have a calibration of their own.
-
-The examples' vectors form an inverted index in blocks of BLOCK examples, with each term's greatest
-weight in each block.  For a text, the sum of its weights times those maxima bounds the cosine with
-any example of a block; blocks are scored in falling order of their bounds until no bound reaches the
-K-th best cosine, so the neighbours are exactly those of a full search (equal cosines: smaller index
-first).  Neighbours vote by cosine, and the share of toxic votes is calibrated by a logistic curve
-fitted on the examples' own votes with themselves left out.
-
-Examples are at most about PER_LABEL of each label, drawn by a hash of the key; that bound holds the
-index at a size that may be broadcast.
-
-Defined cases: a null or empty text, and any other without a term of the vocabulary, has the share of
-toxic ones among the examples without a term of the space; with no labelled example of either label every score is the share of toxic ones
-(0 without labels); rows of several labels take the largest; repeated rows are scored each; an empty
-table gives an empty result; label, language, source and key are never inputs of a score.
+Terms are all runs of letters of the labelled examples (letters: a-z and every sign outside ASCII) in
+lower case.  A text's vector has every one of its terms that the vocabulary knows, with weight
+(1 + log tf) * idf * telling, and length 1.  idf counts all documents.  `telling` is a supervised
+factor, max(FLOOR, |z| - CHANCE), where z is the log odds ratio of the labels for examples with the
+term, over its standard error: a term that tells nothing keeps FLOOR and takes part like any other.
+
+The examples form an inverted index in blocks of BLOCK alike examples.  A cell is a term in a block:
+its postings and the greatest weight among them.  For a text, the sum of its weights times those
+maxima bounds the cosine with any example of a block; a few blocks of the greatest bounds are scored
+first, then all whose bound reaches the K-th best cosine so far, until none is left.  So the
+neighbours are exactly those of a full search (equal cosines: smaller place in the index first).
+
+Neighbours vote by cosine, and the votes are calibrated by a logistic curve over the examples' own
+votes with themselves left out; an example counts for as many as the draw took it from.  Examples are
+at most about PER_LABEL of each label, drawn by a hash of the key; that bound holds the index at a
+size that may be broadcast.
+
+Defined cases: a text without a term of the vocabulary (null and empty ones among them) and every
+text where nothing is labelled with one of the labels has the share of toxic ones among the labelled
+rows (0 without labels); rows of several labels take the largest; repeated rows are scored each; a
+null key is never labelled; an empty table gives an empty result; label, language, source and key are
+never inputs of a score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import written
-from rolegraph.llm._text import Words, binary_list, int64, span_hashes, text_slices
+from rolegraph.llm._spark import drawn, written
+from rolegraph.llm._text import Words, binary_list, distinct_per_doc, text_slices
 
-PREFIXES = (4, 5, 6)
-PER_LABEL = 8_000
-TERMS = 4_096
-LEAST_G = 22.0
-LEAST_RATIO = 10.0
+PER_LABEL = 3_000
+FLOOR, CHANCE = 0.05, 2.0
 BLOCK = 64
 K = 15
 #: Weight of the share of toxic examples in a vote, against cosines of at most 1.
 PRIOR = 0.25
-REMEMBER = 50_000
-#: Blocks that are scored before the first look at the bounds.
-FIRST = 8
-#: Rows of a scoring task: the vectors are small, the search in them isn't.
-TASK_ROWS = 16_000
-#: Terms of most examples whose weights are a dense matrix, and texts that are multiplied by it at once.
-DENSE = 256
+#: Blocks that are scored before the first look at the bounds; texts that are scored at once.
+FIRST = 3
 AT_ONCE = 64
+#: Frequent terms that place alike examples in one block.
+ALIKE = 1_024
 #: Tasks that the examples' own votes are spread over.
 EXAMPLE_TASKS = 24
 
+#: Bytes of lower-cased text that are no letters.
+_OUTSIDE = np.ones(256, dtype=bool)
+_OUTSIDE[97:123] = _OUTSIDE[128:] = False
 
-def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of a slice, and the document of each."""
-    words = Words(data, offsets)
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct terms as hashes, how often it has them, and where each text's begin."""
+    words = Words(data, offsets, outside=_OUTSIDE)
     doc = np.repeat(np.arange(len(offsets) - 1), words.counts())
-    hashes, docs = [words.hashes], [doc]
-    length = words.ends - words.starts
-    for n in PREFIXES:
-        long = length > n
-        hashes.append(span_hashes(data, words.starts[long], words.starts[long] + n) ^ np.uint64(n))
-        docs.append(doc[long])
-    return np.concatenate(hashes), np.concatenate(docs)
+    order = np.lexsort((words.hashes, doc))
+    h, doc = words.hashes[order], doc[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(doc[at], np.arange(len(offsets)))
 
 
-def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, other): how many examples of a task hold a term."""
-    for batch in batches:
-        label = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in text_slices(batch.column(1)):
-            h, doc = terms_of(data, offsets)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[first], doc[first]
-            if not len(h):
-                continue
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            toxic = np.add.reduceat((label[a:b][doc] == 1).astype(np.int64), at)
-            yield pa.RecordBatch.from_arrays([pa.array(int64(h[at])), pa.array(toxic), pa.array(np.diff(np.append(at, len(h))) - toxic)], names=["term", "toxic", "other"])
-
-
-def _vectors(terms):
-    """(doc_id, terms' places as uint16, counts as uint16) of every text."""
+def known_terms(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for terms of the vocabulary: places, counts and begins."""
+    h, count, begin = terms_of(data, offsets)
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    at = np.searchsorted(vocabulary, h)
+    at[at == len(vocabulary)] = 0
+    hit = vocabulary[at] == h
+    return at[hit], count[hit], np.concatenate(([0], np.cumsum(hit)))[begin]
+
+
+def runs(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the range of each."""
+    n = stop - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - (np.cumsum(n) - n - start)[of], of
+
+
+def telling(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """The supervised factor of terms that so many examples of each label have."""
+    t, o, p, q = toxic + 0.5, other + 0.5, n_toxic - toxic + 0.5, n_other - other + 0.5
+    z = (np.log(t / p) - np.log(o / q)) / np.sqrt(1 / t + 1 / o + 1 / p + 1 / q)
+    return np.maximum(FLOOR, abs(z) - CHANCE)
+
+
+def alike_order(place: np.ndarray, weight: np.ndarray, begin: np.ndarray, terms: int) -> np.ndarray:
+    """The examples in an order that puts alike ones side by side: halved again and again along their main direction."""
+    n = len(begin) - 1
+    common = np.argsort(-np.bincount(place, minlength=terms), kind="stable")[:ALIKE]
+    row = np.full(terms, -1)
+    row[common] = np.arange(len(common))
+    x = np.zeros((n, len(common)), dtype=np.float32)
+    some = row[place] >= 0
+    x[np.repeat(np.arange(n), np.diff(begin))[some], row[place][some]] = weight[some]
+    out, parts = [], [np.arange(n)]
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        own = x[part] - x[part].mean(axis=0)
+        axis = own[np.argmax((own * own).sum(axis=1))]
+        for _ in range(6):
+            axis = own.T @ (own @ axis)
+            axis /= np.sqrt((axis * axis).sum()) or 1
+        part = part[np.lexsort((part, np.round(own @ axis, 5)))]
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK  # whole blocks on the left
+        parts += [part[half:], part[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = terms.value
-        low = np.zeros(1 << 16, dtype=bool)
-        low[(space & np.uint64(0xFFFF)).astype(np.int64)] = True
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
-                h, doc = terms_of(data, offsets)
-                some = np.flatnonzero(low[(h & np.uint64(0xFFFF)).astype(np.int64)])
-                at = np.searchsorted(space, h[some])
-                at[at == len(space)] = 0
-                hit = space[at] == h[some] if len(space) else np.zeros(0, bool)
-                key = doc[some][hit] * (len(space) + 1) + at[hit]
-                key, count = np.unique(key, return_counts=True)
-                place, doc = (key % (len(space) + 1)).astype(np.uint16), key // (len(space) + 1)
-                cut = np.searchsorted(doc, np.arange(b - a + 1))
-                count = np.minimum(count, 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([place[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary()), pa.array([count[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "places", "counts"]
-                )
 
-    return run
+@dataclass
+class Index:
+    """Labelled examples with a block-max inverted index."""
 
+    vocabulary: np.ndarray  # ascending hashes
+    factor: np.ndarray  # idf * telling of a term
+    ids: np.ndarray
+    labels: np.ndarray
+    share: float
+    block: int  # examples of a block
+    cell_start: np.ndarray  # of a term, its cells
+    cell_block: np.ndarray
+    cell_most: np.ndarray
+    post_start: np.ndarray  # of a cell, its postings
+    post_example: np.ndarray
+    post_weight: np.ndarray
+    curve: tuple[float, float] | None = None
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(TERMS, dtype=np.int64)
-    for batch in batches:
-        joined = b"".join(x for x in batch.column(0).to_pylist())
-        total += np.bincount(np.frombuffer(joined, np.uint16), minlength=TERMS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "df"])
+    @staticmethod
+    def of(vocabulary: np.ndarray, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, share: float, place: np.ndarray, count: np.ndarray, begin: np.ndarray) -> Index:
+        """place, count, begin: the examples' terms as known_terms gives them."""
+        weight = weights(factor, place, count, begin)
+        order = alike_order(place, weight, begin, len(vocabulary))
+        take, of = runs(begin[:-1][order], begin[1:][order])
+        place, weight, example = place[take], weight[take], of
+        by = np.lexsort((example, place))
+        place, weight, example = place[by], weight[by], example[by]
+        key = place * (len(ids) // BLOCK + 1) + example // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        return Index(
+            vocabulary, factor, ids[order], labels[order], share, BLOCK, np.searchsorted(place[first], np.arange(len(vocabulary) + 1)), (example[first] // BLOCK).astype(np.int32), most,
+            np.append(first, len(key)), example.astype(np.int32), weight,
+        )
+
+    def nearest(self, place: np.ndarray, weight: np.ndarray, begin: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of each text's K nearest examples with a cosine above 0, best first; leave: an id that doesn't count for each text."""
+        docs, size, blocks = len(begin) - 1, len(self.ids), -(-len(self.ids) // self.block)
+        cell, of = runs(self.cell_start[place], self.cell_start[place + 1])
+        doc, w = np.repeat(np.arange(docs), np.diff(begin))[of], weight[of]
+        slot = doc * blocks + self.cell_block[cell]
+        bound = np.bincount(slot, w * self.cell_most[cell], minlength=docs * blocks).reshape(docs, blocks)
+        acc = np.zeros((docs, size))
+        gone = None if leave is None else leave[:, None] == self.ids
+        done = bound <= 0
+        first = min(FIRST, blocks)
+        todo = ~done & (bound >= np.partition(bound, blocks - first, axis=1)[:, blocks - first : blocks - first + 1])
+        while todo.any():
+            pick = np.flatnonzero(todo.ravel()[slot])
+            post, by = runs(self.post_start[cell[pick]], self.post_start[cell[pick] + 1])
+            acc += np.bincount(doc[pick][by] * size + self.post_example[post], w[pick][by] * self.post_weight[post], minlength=docs * size).reshape(docs, size)
+            done |= todo
+            if gone is not None:
+                acc[gone] = 0
+            least = np.partition(acc, size - K, axis=1)[:, size - K : size - K + 1] if size > K else np.zeros((docs, 1))
+            todo = ~done & (bound >= least - 1e-9)
+        acc = np.round(acc, 10)
+        least = np.partition(acc, size - K, axis=1)[:, size - K : size - K + 1] if size > K else np.zeros((docs, 1))
+        text, example = np.nonzero((acc >= least) & (acc > 0))
+        cos = acc[text, example]
+        order = np.lexsort((example, -cos, text))
+        text, example, cos = text[order], example[order], cos[order]
+        rank = np.arange(len(text)) - np.searchsorted(text, np.arange(docs))[text]
+        return text[rank < K], example[rank < K], cos[rank < K]
+
+    def votes(self, docs: int, text: np.ndarray, example: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        """The neighbours' share of toxic ones, weighted by cosine."""
+        return (np.bincount(text, cos * self.labels[example], minlength=docs) + PRIOR * self.share) / (np.bincount(text, cos, minlength=docs) + PRIOR)
+
+    def judged(self, data: np.ndarray, offsets: np.ndarray, leave: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For AT_ONCE texts at a time: votes, which of them have a term, and the neighbours as nearest() gives them."""
+        place, count, begin = known_terms(data, offsets, self.vocabulary)
+        weight = weights(self.factor, place, count, begin)
+        for a in range(0, len(offsets) - 1, AT_ONCE):
+            cut = begin[a : a + AT_ONCE + 1]
+            some = slice(cut[0], cut[-1])
+            found = self.nearest(place[some], weight[some], cut - cut[0], None if leave is None else leave[a : a + AT_ONCE])
+            yield self.votes(len(cut) - 1, *found), np.diff(cut) > 0, *found
+
+
+def weights(factor: np.ndarray, place: np.ndarray, count: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The terms' weights in vectors of length 1."""
+    w = (1 + np.log(count)) * factor[place]
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    norm = np.sqrt(np.bincount(doc, w * w, minlength=len(begin) - 1))
+    return w / norm[doc]
+
+
+def curved(curve: tuple[float, float], votes: np.ndarray) -> np.ndarray:
+    """The calibrated scores of votes."""
+    v = votes.clip(1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(v / (1 - v)))))
+
+
+def fitted(votes: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[float, float]:
+    """The logistic curve of the labels over the votes' log odds; of: how many rows each example stands for."""
+    votes = votes.clip(1e-6, 1 - 1e-6)
+    x = np.log(votes / (1 - votes))
+    a, b = 0.0, 1.0
+    for _ in range(50):  # Newton steps on the logistic likelihood, held near the identity
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        v, e = of * p * (1 - p), of * (y - p)
+        g = np.array([e.sum() - a * 0.5, (e * x).sum() - (b - 1) * 0.5])
+        h = np.array([[v.sum() + 0.5, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.5]])
+        step = np.linalg.solve(h, g)
+        a, b = a + step[0], b + step[1]
+        if abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
 
 
-def counted(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' terms in the vocabulary: places and counts, and where each text's begin."""
-    h, doc = terms_of(data, offsets)
-    if not len(vocabulary):
-        h, doc = h[:0], doc[:0]
-    order = np.argsort(h)
-    h, doc = h[order], doc[order]
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
-    hit = vocabulary[at] == h
-    key, count = np.unique(doc[hit] * (len(vocabulary) + 1) + at[hit], return_counts=True)
-    return key % (len(vocabulary) + 1), count, np.searchsorted(key // (len(vocabulary) + 1), np.arange(len(offsets)))
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, terms as uint64, counts as uint32) of every example."""
+    for batch in batches:
+        for a, b, data, offsets in text_slices(batch.column(2)):
+            h, count, begin = terms_of(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), binary_list(h, begin), binary_list(count.astype(np.uint32), begin)], names=["doc_id", "label", "terms", "counts"])
 
 
-def _document_frequencies(vocabulary):
+def _frequencies(vocabulary):
     """(place, df): in how many texts of a task each term of the vocabulary occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary.value), dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                total += np.bincount(counted(data, offsets, vocabulary.value)[0], minlength=len(total))
+                total += np.bincount(known_terms(data, offsets, vocabulary.value)[0], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "df"])
 
     return run
 
 
-def _counted(vocabulary):
-    """(doc_id, label, places as uint32, counts as uint16) of every example over the vocabulary."""
+def _own_votes(shared):
+    """(label, vote) of the examples, themselves left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(2)):
-                place, count, begin = counted(data, offsets, vocabulary.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), binary_list(place.astype(np.uint32), begin), binary_list(np.minimum(count, 65535).astype(np.uint16), begin)], names=["doc_id", "label", "places", "counts"])
+                found = shared.value.judged(data, offsets, batch.column(0).slice(a, b - a).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(np.concatenate([x[0] for x in found]))], names=["label", "vote"])
 
     return run
 
 
-@dataclass
-class Whole:
-    """The examples' vectors over the whole vocabulary: the terms of most examples as a matrix, postings of the others."""
-
-    vocabulary: np.ndarray  # ascending hashes
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    dense: np.ndarray  # of a term: its row of the matrix, or -1
-    matrix: np.ndarray
-    start: np.ndarray  # postings of a term
-    example: np.ndarray
-    count: np.ndarray  # of the term in the example
-    norm: np.ndarray  # of an example's weights
-    share: float = 0.0
-
-    @staticmethod
-    def of(vocabulary: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, place: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> Whole:
-        """place, count: the examples' terms one after the other; sizes: how many each has."""
-        df = np.bincount(place, minlength=len(vocabulary))
-        most = np.argsort(-df, kind="stable")[:DENSE]
-        dense = np.full(len(vocabulary), -1, dtype=np.int16)
-        dense[most] = np.arange(len(most))
-        df[most] = 0
-        matrix, norm = np.zeros((len(most), len(ids))), np.ones(len(ids))
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        for i in range(len(ids)):
-            some = slice(begin[i], begin[i + 1])
-            weight, row = (1 + np.log(count[some])) * idf[place[some]], dense[place[some]]
-            norm[i] = np.sqrt((weight * weight).sum()) or 1.0
-            matrix[row[row >= 0], i] = weight[row >= 0]
-        rest = dense[place] < 0
-        example = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[rest]
-        order = np.argsort(place[rest], kind="stable")
-        return Whole(vocabulary, idf, ids, labels, dense, matrix, np.concatenate(([0], np.cumsum(df))), example[order], count[rest][order], norm, float(labels.mean()) if len(ids) else 0.0)
-
-    def neighbours(self, place: np.ndarray, count: np.ndarray, begin: np.ndarray, leave: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text the K examples of greatest cosine above 0 and the cosines; `leave` has the id that doesn't count for each."""
-        weight = (1 + np.log(count)) * self.idf[place]
-        for first in range(0, len(begin) - 1, AT_ONCE):
-            last = min(first + AT_ONCE, len(begin) - 1)
-            s, e = begin[first], begin[last]
-            text, row = np.repeat(np.arange(last - first), np.diff(begin[first : last + 1])), self.dense[place[s:e]]
-            norm = np.sqrt(np.bincount(text, weight[s:e] ** 2, minlength=last - first))
-            query = np.zeros((last - first, len(self.matrix)))
-            query[text[row >= 0], row[row >= 0]] = weight[s:e][row >= 0]
-            scores = query @ self.matrix
-            for i in range(first, last):
-                acc = scores[i - first]
-                some = slice(begin[i], begin[i + 1])
-                p, w = place[some], weight[some]
-                n = self.start[p + 1] - self.start[p]
-                p, w, n = p[n > 0], w[n > 0], n[n > 0]
-                if len(p):
-                    total = np.cumsum(n)
-                    take = np.repeat(self.start[p] - total + n, n) + np.arange(total[-1])
-                    acc += np.bincount(self.example[take], np.repeat(w * self.idf[p], n) * (1 + np.log(self.count[take])), minlength=len(acc))
-                acc /= self.norm
-                if leave is not None:
-                    acc[self.ids == leave[i]] = 0
-                acc = np.round(acc / norm[i - first], 10) if norm[i - first] else acc
-                at = np.flatnonzero(acc >= np.partition(acc, -K)[-K]) if len(acc) > K else np.arange(len(acc))
-                at = at[acc[at] > 0]
-                at = at[np.lexsort((at, -acc[at]))[:K]]
-                yield at, acc[at]
-
-    def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
-        return float((cos @ self.labels[at] + PRIOR * self.share) / (cos.sum() + PRIOR))
-
-
-def _score_bare(space, shared, curve: tuple[float, float] | None = None, empty: float = 0.0):
-    """Texts without a term of the space: (doc_id, score, evidence), or (label, vote) of examples, themselves left out, where there is no curve yet."""
-    calibrate = curve is None
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+def _scores(shared):
+    """(doc_id, score, evidence) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: Whole = shared.value
-        # a term of the space is a term of the vocabulary, so bare texts are told by places
-        chosen = np.zeros(len(whole.vocabulary) + 1, dtype=bool)
-        chosen[np.searchsorted(whole.vocabulary, space.value)] = True
+        index: Index = shared.value
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
-                place, count, begin = counted(data, offsets, whole.vocabulary)
-                held = np.concatenate(([0], np.cumsum(chosen[place])))
-                bare = np.flatnonzero(held[begin[1:]] == held[begin[:-1]])
-                sizes = np.diff(begin)
-                keep = np.repeat(held[begin[1:]] == held[begin[:-1]], sizes)
-                place, count, begin = place[keep], count[keep], np.concatenate(([0], np.cumsum(sizes[bare])))
-                ids = batch.column(0).slice(a, b - a).take(pa.array(bare))
-                found = whole.neighbours(place, count, begin, ids.to_numpy(zero_copy_only=False) if calibrate else None)
-                if calibrate:
-                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a).take(pa.array(bare)), pa.array([whole.vote(*x) for x in found], pa.float64())], names=["label", "vote"])
-                    continue
-                score, evidence = [], []
-                for i, (at, cos) in enumerate(found):
-                    score.append(curved(curve, whole.vote(at, cos)) if begin[i + 1] > begin[i] else empty)
-                    evidence.append([{"doc_id": int(whole.ids[j]), "label": int(whole.labels[j]), "cosine": float(c)} for j, c in zip(at[:3], cos[:3])])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            for a, _, data, offsets in text_slices(batch.column(1)):
+                for votes, some, text, example, cos in index.judged(data, offsets):
+                    best = np.arange(len(text)) - np.searchsorted(text, np.arange(len(votes)))[text] < 3
+                    text, example = text[best], example[best]
+                    told = pa.StructArray.from_arrays([pa.array(index.ids[example]), pa.array(index.labels[example].astype(np.int32)), pa.array(cos[best])], fields=list(_EVIDENCE.value_type))
+                    told = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(votes) + 1)).astype(np.int32)), told)
+                    score = np.where(some, curved(index.curve, votes), index.share)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(votes)), pa.array(score), told], names=["doc_id", "score", "evidence"])
+                    a += len(votes)
 
     return run
 
 
-def curved(curve: tuple[float, float], vote: float) -> float:
-    """The calibrated score of a vote."""
-    v = min(max(vote, 1e-6), 1 - 1e-6)
-    return float(1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(v / (1 - v))))))
-
-
-def fitted(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The logistic curve of the labels over the votes' log odds."""
-    votes = votes.clip(1e-6, 1 - 1e-6)
-    x = np.log(votes / (1 - votes))
-    a, b = 0.0, 1.0
-    for _ in range(50):  # Newton steps on the logistic likelihood, held near the identity
-        p = 1 / (1 + np.exp(-(a + b * x)))
-        v = p * (1 - p)
-        g = np.array([(y - p).sum() - a * 0.5, ((y - p) * x).sum() - (b - 1) * 0.5])
-        h = np.array([[v.sum() + 0.5, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.5]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-9:
-            break
-    return float(a), float(b)
-
-
-@dataclass
-class Index:
-    """Labelled examples with a block-max inverted index."""
-
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    blocks: int = 0
-    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # postings of term and block
-    local: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    share: float = 0.0
-    curve: tuple[float, float] = (0.0, 1.0)
-    empty: float = 0.0
-
-    def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[places]
-        norm = np.sqrt((w * w).sum())
-        return w / norm if norm else w
-
-    def neighbours(self, places: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K examples of greatest cosine, and the cosines; `leave` is an example that doesn't count."""
-        bound = w @ self.most[places]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        at, cos, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(order):
-            # a few blocks first, then all whose bound reaches the K-th best cosine so far
-            upto = done + FIRST if len(cos) < K else int(np.count_nonzero(bound[order] >= cos[K - 1] - 1e-9))
-            if upto <= done:
-                break
-            new, got = self._scored(places, w, order[done:upto])
-            done = min(upto, len(order))
-            keep = new != leave
-            at, cos = np.concatenate((at, new[keep])), np.concatenate((cos, np.round(got[keep], 12)))
-            top = np.lexsort((at, -cos))[:K]
-            at, cos = at[top], cos[top]
-        return at, cos
-
-    def _scored(self, places: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks that share a term, and their cosines."""
-        cell = (places[:, None] * self.blocks + blocks).ravel()
-        s, n = self.start[cell], self.start[cell + 1] - self.start[cell]
-        total = np.cumsum(n)
-        take = np.repeat(s - total + n, n) + np.arange(total[-1])
-        column = np.tile(np.arange(len(blocks)), len(places))
-        slot = np.repeat(column * BLOCK, n) + self.local[take]
-        acc = np.bincount(slot, np.repeat(np.repeat(w, len(blocks)), n) * self.weight[take], minlength=len(blocks) * BLOCK)
-        hit = np.flatnonzero(acc > 0)
-        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, acc[hit]
-
-    def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
-        return float((cos @ self.labels[at] + PRIOR * self.share) / (cos.sum() + PRIOR))
-
-    def score(self, places: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(places):
-            return self.empty, np.zeros(0, np.int64), np.zeros(0)
-        at, cos = self.neighbours(places, self.vector(places, counts))
-        return curved(self.curve, self.vote(at, cos)), at, cos
-
-
-def build_index(rows: list[tuple[int, int, bytes, bytes]], idf: np.ndarray) -> Index:
-    """The index of examples (id, label, places, counts), its calibration included."""
-    vectors = [(i, y, np.frombuffer(p, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16)) for i, y, p, c in rows]
-    bare = [y for _, y, p, _ in vectors if not len(p)]
-    full = sorted((x for x in vectors if len(x[2])), key=lambda x: (x[2][np.argmax(idf[x[2]])], x[0]))  # alike ones share blocks
-    index = Index(idf, np.array([x[0] for x in full], np.int64), np.array([x[1] for x in full], np.float64))
-    index.share = float(np.mean([y for _, y, _, _ in vectors])) if vectors else 0.0
-    index.empty = (sum(bare) + index.share) / (len(bare) + 1)
-    if not full:
-        return index
-    index.blocks = -(-len(full) // BLOCK)
-    term = np.concatenate([x[2] for x in full])
-    doc = np.repeat(np.arange(len(full)), [len(x[2]) for x in full])
-    weight = np.concatenate([index.vector(x[2], x[3]) for x in full])
-    key = term * index.blocks + doc // BLOCK
-    order = np.argsort(key, kind="stable")
-    index.local, index.weight = (doc % BLOCK)[order], weight[order]
-    index.start = np.searchsorted(key[order], np.arange(len(idf) * index.blocks + 1))
-    index.most = np.zeros((len(idf), index.blocks))
-    np.maximum.at(index.most.ravel(), key, weight)
-    index.curve = fitted(np.array([index.vote(*index.neighbours(x[2], index.vector(x[2], x[3]), leave=i)) for i, x in enumerate(full)]), index.labels)
-    return index
-
-
-def _score(shared):
-    names = ["doc_id", "score", "evidence"]
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        known: dict[tuple[bytes, bytes], tuple] = {}
-        for batch in batches:
-            score, evidence = [], []
-            for key in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                got = known.get(key)
-                if got is None:
-                    s, at, cos = index.score(np.frombuffer(key[0], np.uint16).astype(np.int64), np.frombuffer(key[1], np.uint16))
-                    got = (s, [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(at[:3], cos[:3])])
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[key] = got
-                score.append(got[0])
-                evidence.append(got[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(evidence, kind)], names=names)
-
-    return run
+def build_index(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, share: float, document_frequencies) -> Index:
+    """An index, not calibrated yet, of examples with so many (sizes) of the terms each; document_frequencies: of a vocabulary, (documents, their numbers with each term)."""
+    vocabulary, place = np.unique(terms, return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    seen: set[tuple] = set()  # copies count once in what a term tells
+    apart = np.array([(k := (y, terms[s:e].tobytes())) not in seen and not seen.add(k) for y, s, e in zip(labels.tolist(), begin, begin[1:])], dtype=bool)
+    example = np.repeat(np.arange(len(ids)), sizes)
+    toxic, other = (np.bincount(place[(apart & (labels == y))[example]], minlength=len(vocabulary)) for y in (1, 0))
+    n, df = document_frequencies(vocabulary)
+    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    return Index.of(vocabulary, idf * telling(toxic, other, int((apart & (labels == 1)).sum()), int((apart & (labels == 0)).sum())), ids, labels, share, place, counts, begin)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -407,54 +304,33 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     labels has the key and the label 0 or 1; `learn` says, by the key, which rows may be learned from.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    part = F.when(F.col("label") == 1, F.lit(int(1_000_000 * min(1, PER_LABEL / max(1, sizes.get(1, 0)))))).otherwise(F.lit(int(1_000_000 * min(1, PER_LABEL / max(1, sizes.get(0, 0))))))
-    known = F.broadcast(written(known.where(draw < part), "toxic-labels"))  # about 2 * PER_LABEL rows
-
-    alike = rows.join(known, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"])  # copies count once
-    counts = alike.select("label", "text").mapInArrow(_label_counts, "term long, toxic long, other long")
-    counts = written(counts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")), "toxic-terms")
-    vocabulary = np.sort(counts.select("term").toArrow()["term"].to_numpy().view(np.uint64))  # bounded as the examples are
-    counts = counts.where("t + o >= 4")
-    pos, neg = (float(min(PER_LABEL, sizes.get(y, 0)) or 1) for y in (1, 0))
-    part_of = lambda k, n, rate: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * rate))).otherwise(0.0)
-    rate = (F.col("t") + F.col("o")) / (pos + neg)
-    rest = lambda k, n: F.when(F.lit(n) > F.col(k), (F.lit(n) - F.col(k)) * F.log((F.lit(n) - F.col(k)) / (n * F.greatest(1 - rate, F.lit(1e-12))))).otherwise(0.0)
-    g = 2 * (part_of("t", pos, rate) + part_of("o", neg, rate) + rest("t", pos) + rest("o", neg))
-    ratio = F.abs(F.log((F.col("t") + 0.5) / (pos + 1)) - F.log((F.col("o") + 0.5) / (neg + 1)))
-    chosen = counts.where(ratio >= float(np.log(LEAST_RATIO))).select("term", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    terms = np.sort(np.array([r.term for r in chosen], dtype=np.int64).view(np.uint64))
-
-    shared = spark.sparkContext.broadcast(terms)
-    vectors = written(rows.mapInArrow(_vectors(shared), "doc_id long, places binary, counts binary"), "toxic-vectors")
-    n = vectors.count()
-    df = np.zeros(TERMS, dtype=np.int64)
-    for r in vectors.select("places").mapInArrow(_frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
-        df[r.place] = r.df
-    examples = sorted((r.doc_id, r.label, bytes(r.places), bytes(r.counts)) for r in vectors.join(known, "doc_id").select("doc_id", "label", "places", "counts").toLocalIterator())
-    index = build_index(examples, np.log((n + 1) / (df + 1)) + 1e-3)
-    rows_kind = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>"
-    scored = vectors.where("length(places) > 0").repartition(-(-n // TASK_ROWS) or 1).mapInArrow(_score(spark.sparkContext.broadcast(index)), rows_kind)
-
-    words = spark.sparkContext.broadcast(vocabulary)
-    df = np.zeros(len(vocabulary), dtype=np.int64)
-    found = rows.select("text").mapInArrow(_document_frequencies(words), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
-    df[found["place"].to_numpy()] = found["df"].to_numpy()
-    marked = rows.join(known, "doc_id")
-    examples = marked.select("doc_id", "label", "text").mapInArrow(_counted(words), "doc_id long, label int, places binary, counts binary").toArrow().combine_chunks()
-    order = np.lexsort((pc.binary_length(examples["places"]).to_numpy(), examples["doc_id"].to_numpy()))
-    examples = examples.take(pa.array(order)).combine_chunks()
-    place, count = (np.frombuffer(b"".join(examples[k].to_pylist()), kind) for k, kind in (("places", np.uint32), ("counts", np.uint16)))
-    ids, label, sizes = examples["doc_id"].to_numpy(), examples["label"].to_numpy().astype(np.float64), pc.binary_length(examples["places"]).to_numpy() // 4
-    del examples
-    whole = spark.sparkContext.broadcast(Whole.of(vocabulary, np.log((n + 1) / (df + 1)) + 1e-3, ids, label, place, count, sizes))
-    del place, count
-    tried = marked.select("doc_id", "text", "label").repartition(EXAMPLE_TASKS).mapInArrow(_score_bare(shared, whole), "label int, vote double").toArrow()
-    curve = fitted(*(tried[k].to_numpy().astype(np.float64) for k in ("vote", "label")))
-    return scored.union(rows.mapInArrow(_score_bare(shared, whole, curve, index.empty), rows_kind))
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    if len(sizes) < 2:
+        return rows.select("doc_id", F.lit(share).alias("score"), F.array().cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
+    known = known.where(F.when(F.col("label") == 1, drawn("doc_id", PER_LABEL, sizes[1])).otherwise(drawn("doc_id", PER_LABEL, sizes[0])))
+    marked = rows.join(F.broadcast(written(known, "toxic-labels")), "doc_id").select("doc_id", "label", "text")  # about 2 * PER_LABEL labels
+    found = marked.mapInArrow(_examples, "doc_id long, label int, terms binary, counts binary").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    column = lambda k, kind: np.frombuffer(b"".join(found[k].to_pylist()), kind).astype(np.uint64 if k == "terms" else np.int64)
+
+    def document_frequencies(vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+        own = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+        df = np.zeros(len(vocabulary), dtype=np.int64)
+        df[own["place"].to_numpy()] = own["df"].to_numpy()
+        return rows.count(), df
+
+    y = found["label"].to_numpy()
+    index = build_index(found["doc_id"].to_numpy(), y.astype(np.float64), column("terms", np.uint64), column("counts", np.uint32), np.array([len(x) // 8 for x in found["terms"].to_pylist()], dtype=np.int64), share, document_frequencies)
+    if not len(index.ids):
+        return rows.select("doc_id", F.lit(share).alias("score"), F.array().cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
+    own = marked.repartition(EXAMPLE_TASKS).mapInArrow(_own_votes(spark.sparkContext.broadcast(index)), "label int, vote double").toArrow()
+    tried = own["label"].to_numpy()
+    of = np.where(tried == 1, max(1, sizes[1] / PER_LABEL), max(1, sizes[0] / PER_LABEL))
+    index.curve = fitted(own["vote"].to_numpy(), tried.astype(np.float64), of)
+    return rows.mapInArrow(_scores(spark.sparkContext.broadcast(index)), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolegraph.llm import hmm, langid, toxicity
+from rolegraph.llm import hmm, langid
 
 from .conftest import prose
 
@@ -98,89 +98,3 @@ def test_languages(spark, docs, no_docs):
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[4].lang_pred != "und" and got[5].lang_pred == "bb"
     assert {x.lang_pred for x in langid.predict_lang(docs, langid.fit_langid(no_docs, F.lit(True))).collect()} == {"und"}
     assert langid.predict_lang(no_docs, model).count() == 0
-
-
-# toxicity
-
-
-def test_neighbours_are_those_of_a_full_search():
-    rng = np.random.default_rng(4)
-    rows = []
-    for i in range(500):
-        p = np.unique(rng.integers(0, 40, rng.integers(0, 6))).astype(np.uint16)
-        rows.append((i, int(rng.random() < 0.3), p.tobytes(), rng.integers(1, 4, len(p)).astype(np.uint16).tobytes()))
-    idf = rng.random(40) + 0.5
-    index = toxicity.build_index(rows, idf)
-    full = np.zeros((len(index.ids), 40))
-    by_id = {r[0]: r for r in rows}
-    for n, i in enumerate(index.ids):
-        p = np.frombuffer(by_id[i][2], np.uint16).astype(int)
-        full[n, p] = index.vector(p, np.frombuffer(by_id[i][3], np.uint16))
-    for _ in range(100):
-        p = np.unique(rng.integers(0, 40, 4))
-        w = index.vector(p, rng.integers(1, 4, len(p)))
-        cos = np.round(full[:, p] @ w, 12)
-        want = np.lexsort((np.arange(len(cos)), -cos))[: toxicity.K]
-        at, got = index.neighbours(p, w)
-        want = want[cos[want] > 0]
-        assert np.allclose(got, cos[want], atol=1e-9)
-        assert (np.round(got[:-1], 9) == np.round(got[1:], 9)).any() or at.tolist() == want.tolist()
-
-
-def test_toxicity(spark, docs, no_docs):
-    r = random.Random(6)
-    rows, labels = [], []
-    for i in range(400):
-        y = int(r.random() < 0.25)
-        w = prose(i, 40).split()
-        if y:
-            for _ in range(r.randrange(1, 4)):
-                w.insert(r.randrange(len(w)), r.choice(["grobnak", "grobnaks", "vilestuff"]))
-        rows.append((i, " ".join(w), "x"))
-        labels.append((i, y))
-    table, marks = spark.createDataFrame(rows, "doc_id long, text string, toxic string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {x.doc_id: x for x in toxicity.score_toxicity(table, marks, learn=F.col("doc_id") % 2 == 0).collect()}
-    assert all((got[i].score >= 0.5) == y for i, y in labels)
-    assert all(e.label == 1 for i, y in labels if y for e in got[i].evidence)
-    none = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert len(none) == docs.count() and {x.score for x in none} == {0.0}
-    assert toxicity.score_toxicity(no_docs, marks).count() == 0
-
-
-def test_texts_without_a_chosen_term_have_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "TERMS", 1)  # texts of other toxic words are bare
-    rows, labels = [], []
-    for i in range(300):
-        y = int(i % 3 == 0)
-        w = prose(i, 8) + ((" grobnak" if i % 4 else " quogbleh zirfmuck ploonvat") if y else "")
-        rows.append((i, w))
-        labels.append((i, y))
-    rows += [(900, "quogbleh zirfmuck ploonvat"), (901, None), (902, "unseen%%word")]
-    table, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {x.doc_id: x for x in toxicity.score_toxicity(table, marks, learn=F.col("doc_id") % 5 != 0).collect()}
-    assert len(got) == len(rows)
-    assert all((got[i].score >= 0.5) == y for i, y in labels)
-    assert got[900].score >= 0.5 and [e.label for e in got[900].evidence] == [1, 1, 1]
-    assert got[901].score == got[902].score and not got[901].evidence and not got[902].evidence
-
-
-def test_whole_vocabulary_neighbours_are_those_of_a_full_search(monkeypatch):
-    monkeypatch.setattr(toxicity, "DENSE", 7)
-    monkeypatch.setattr(toxicity, "AT_ONCE", 3)
-    rng = np.random.default_rng(8)
-    idf, texts = rng.random(60) + 0.5, [np.unique(rng.integers(0, 60, 9)) for _ in range(120)]
-    texts = [(p, rng.integers(1, 4, len(p))) for p in texts]
-    full = np.zeros((120, 60))
-    for i, (p, c) in enumerate(texts):
-        full[i, p] = (1 + np.log(c)) * idf[p]
-    full /= np.linalg.norm(full, axis=1, keepdims=True)
-    place, count, sizes = np.concatenate([p for p, _ in texts]), np.concatenate([c for _, c in texts]), np.array([len(p) for p, _ in texts])
-    whole = toxicity.Whole.of(np.arange(60, dtype=np.uint64), idf, np.arange(120), np.zeros(120), place, count, sizes)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    for leave in (None, np.arange(120)):
-        for i, (at, cos) in enumerate(whole.neighbours(place, count, begin, leave)):
-            want = full @ full[i]
-            if leave is not None:
-                want[i] = 0
-            want = np.sort(want[want > 1e-12])[::-1][: toxicity.K]
-            assert np.allclose(cos, want, atol=1e-9) and np.allclose(full[at] @ full[i], cos, atol=1e-9)
