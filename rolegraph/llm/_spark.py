@@ -4,42 +4,74 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark hands to a Python worker at once: whole texts are large, and both sides hold a batch.
+ARROW_ROWS = 1_000
 #: A side is broadcast only if its rows, at this many bytes each, stay below BROADCAST_BYTES.
 BROADCAST_BYTES = 32 << 20
 ID_BYTES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where it is unset (a single machine)."""
+    """The folder all machines share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="rolegraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have workers get whole texts in batches of ARROW_ROWS, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rolegraph/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the scratch tables that this driver wrote and has not deleted.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs nothing before it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _tables.append(path)
     return out
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, t._scratch)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        _tables.remove(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, as a scratch table; the tables that were written on the way are deleted."""
+    before = set(_tables)
+    out = written(make(), name)
+    for path in set(_tables) - before - {out._scratch}:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def small_enough(df: DataFrame, row_bytes: int = ID_BYTES, limit: int = BROADCAST_BYTES) -> bool:

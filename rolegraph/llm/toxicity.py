@@ -7,10 +7,12 @@ factor, max(FLOOR, |z| - CHANCE), where z is the log odds ratio of the labels fo
 term, over its standard error: a term that tells nothing keeps FLOOR and takes part like any other.
 
 The examples form an inverted index in blocks of BLOCK alike examples.  A cell is a term in a block:
-its postings and the greatest weight among them.  For a text, the sum of its weights times those
-maxima bounds the cosine with any example of a block; a few blocks of the greatest bounds are scored
-first, then all whose bound reaches the K-th best cosine so far, until none is left.  So the
-neighbours are exactly those of a full search (equal cosines: smaller place in the index first).
+its postings and the greatest weight among them.  The DENSE terms of most postings are a matrix
+instead, whose part of every cosine is one product.  For a text, the greatest such part in a block
+plus the sum of its other weights times their cells' maxima bounds the cosine with any example of the
+block; a few blocks of the greatest bounds are scored first, then all whose bound reaches the K-th
+best cosine so far, until none is left.  So the neighbours are exactly those of a full search (equal
+cosines: smaller place in the index first).
 
 Neighbours vote by cosine, and the votes are calibrated by a logistic curve over the examples' own
 votes with themselves left out; an example counts for as many as the draw took it from.  Examples are
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import drawn, written
+from rolegraph.llm._spark import drawn, small_batches, written
 from rolegraph.llm._text import Words, binary_list, distinct_per_doc, text_slices
 
 PER_LABEL = 3_000
@@ -46,6 +48,8 @@ PRIOR = 0.25
 #: Blocks that are scored before the first look at the bounds; texts that are scored at once.
 FIRST = 3
 AT_ONCE = 64
+#: Terms of most postings whose weights are a matrix.
+DENSE = 256
 #: Frequent terms that place alike examples in one block.
 ALIKE = 1_024
 #: Tasks that the examples' own votes are spread over.
@@ -131,6 +135,8 @@ class Index:
     labels: np.ndarray
     share: float
     block: int  # examples of a block
+    row: np.ndarray  # of a term, its row of the matrix or -1
+    matrix: np.ndarray  # dense terms x examples, blocks whole
     cell_start: np.ndarray  # of a term, its cells
     cell_block: np.ndarray
     cell_most: np.ndarray
@@ -148,34 +154,48 @@ class Index:
         place, weight, example = place[take], weight[take], of
         by = np.lexsort((example, place))
         place, weight, example = place[by], weight[by], example[by]
+        row = np.full(len(vocabulary), -1)
+        dense = np.argsort(-np.bincount(place, minlength=len(vocabulary)), kind="stable")[:DENSE]
+        row[dense] = np.arange(len(dense))
+        matrix = np.zeros((len(dense), -(-len(ids) // BLOCK) * BLOCK))
+        full = row[place] >= 0
+        matrix[row[place[full]], example[full]] = weight[full]
+        place, weight, example = place[~full], weight[~full], example[~full]
         key = place * (len(ids) // BLOCK + 1) + example // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        return Index(
-            vocabulary, factor, ids[order], labels[order], share, BLOCK, np.searchsorted(place[first], np.arange(len(vocabulary) + 1)), (example[first] // BLOCK).astype(np.int32), most,
-            np.append(first, len(key)), example.astype(np.int32), weight,
-        )
+        cell_start = np.searchsorted(place[first], np.arange(len(vocabulary) + 1))
+        return Index(vocabulary, factor, ids[order], labels[order], share, BLOCK, row, matrix, cell_start, (example[first] // BLOCK).astype(np.int32), most, np.append(first, len(key)), example.astype(np.int32), weight)
 
     def nearest(self, place: np.ndarray, weight: np.ndarray, begin: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, example, cosine) of each text's K nearest examples with a cosine above 0, best first; leave: an id that doesn't count for each text."""
-        docs, size, blocks = len(begin) - 1, len(self.ids), -(-len(self.ids) // self.block)
+        docs, size = len(begin) - 1, self.matrix.shape[1]
+        blocks, text = size // self.block, np.repeat(np.arange(docs), np.diff(begin))
+        row = self.row[place]
+        query = np.zeros((docs, len(self.matrix)))
+        query[text[row >= 0], row[row >= 0]] = weight[row >= 0]
+        acc = query @ self.matrix
+        gone = None if leave is None else np.pad(leave[:, None] == self.ids, ((0, 0), (0, size - len(self.ids))))
+        if gone is not None:
+            acc[gone] = 0
         cell, of = runs(self.cell_start[place], self.cell_start[place + 1])
-        doc, w = np.repeat(np.arange(docs), np.diff(begin))[of], weight[of]
+        doc, w = text[of], weight[of]
         slot = doc * blocks + self.cell_block[cell]
-        bound = np.bincount(slot, w * self.cell_most[cell], minlength=docs * blocks).reshape(docs, blocks)
-        acc = np.zeros((docs, size))
-        gone = None if leave is None else leave[:, None] == self.ids
+        bound = acc.reshape(docs, blocks, self.block).max(axis=2) + np.bincount(slot, w * self.cell_most[cell], minlength=docs * blocks).reshape(docs, blocks)
         done = bound <= 0
         first = min(FIRST, blocks)
         todo = ~done & (bound >= np.partition(bound, blocks - first, axis=1)[:, blocks - first : blocks - first + 1])
+        least = np.zeros((docs, 1))
         while todo.any():
             pick = np.flatnonzero(todo.ravel()[slot])
             post, by = runs(self.post_start[cell[pick]], self.post_start[cell[pick] + 1])
-            acc += np.bincount(doc[pick][by] * size + self.post_example[post], w[pick][by] * self.post_weight[post], minlength=docs * size).reshape(docs, size)
+            if len(post):
+                acc += np.bincount(doc[pick][by] * size + self.post_example[post], w[pick][by] * self.post_weight[post], minlength=docs * size).reshape(docs, size)
             done |= todo
             if gone is not None:
                 acc[gone] = 0
-            least = np.partition(acc, size - K, axis=1)[:, size - K : size - K + 1] if size > K else np.zeros((docs, 1))
+            if size > K:
+                least = np.partition(acc, size - K, axis=1)[:, size - K : size - K + 1]
             todo = ~done & (bound >= least - 1e-9)
         acc = np.round(acc, 10)
         least = np.partition(acc, size - K, axis=1)[:, size - K : size - K + 1] if size > K else np.zeros((docs, 1))
@@ -304,6 +324,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     labels has the key and the label 0 or 1; `learn` says, by the key, which rows may be learned from.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if learn is not None:

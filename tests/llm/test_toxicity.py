@@ -84,7 +84,7 @@ def frames(spark, rows, labels):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_scores_are_those_of_dense_cosines(spark, seed, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
-    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    monkeypatch.setattr(toxicity, "DENSE", 9)
     r = random.Random(seed)
     rows, labels = labelled(seed, 150)
     rows += [(900, None), (901, ""), (902, "12 34 !"), (903, "unseenword"), (904, "GROBNAK, vilestuff!!"), (905, rows[3][1]), (906, "é " + prose(5, 3000))]
@@ -99,8 +99,10 @@ def test_scores_are_those_of_dense_cosines(spark, seed, monkeypatch):
         assert [e.cosine for e in got[k].evidence] == pytest.approx(list(cos), abs=1e-8)
 
 
-def test_blocks_are_pruned_and_nothing_is_lost(monkeypatch):
+@pytest.mark.parametrize("dense", [0, 6, 100])
+def test_blocks_are_pruned_and_nothing_is_lost(monkeypatch, dense):
     monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     rng = np.random.default_rng(8)
     texts = [np.unique(np.concatenate((rng.integers(0, 12, 5), [12 + 8 * (i % 6) + rng.integers(0, 8)]))) for i in range(200)]
     counts = [rng.integers(1, 4, len(p)) for p in texts]
