@@ -18,7 +18,7 @@ from rolegraph.llm._text import LOWER, Words, mix64, on_idle, span_hashes, strea
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct units that a worker remembers; beyond it starts afresh, so memory is bounded.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 400_000
 
 _RAW = stream(17, 256)
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
@@ -47,6 +47,9 @@ class Encoder:
         self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)  # the last id of a unit
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.stops = np.zeros(len(self.closes), dtype=bool)  # an id whose last sign is a full stop, question or exclamation mark
+        self.stops[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
+        del vocab
         self.units = self.closes.any()
         if self._ids("a b c") != sum(map(self._ids, "abc"), []):
             raise ValueError("the tokenizer keeps white space; documents can't be encoded chunk by chunk")

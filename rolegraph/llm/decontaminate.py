@@ -4,15 +4,16 @@ A mask such as 1101011 is laid over a text's words at every place; the words und
 hashed, those under its zeros may differ.  Hashes of the benchmark's items and of the documents are
 joined; each hit fixes how an item would lie in the document, and the words under that overlap are
 compared one by one.  A document holds an item if at least SIMILARITY of the item's words stand at
-their places.  With these masks every item of 12 words or more with no more than a fifth of its words
-replaced is hit somewhere.
+their places.  MASKS hit every item of more than BRIEF words somewhere, wherever up to a fifth of its
+words are replaced; items of 5 to BRIEF words are hit by MASKS and BRIEF_MASKS together, and shorter
+ones must be whole, so they are looked up as they are.  (The tests go through all places of the
+replaced words.)
 
-A filter of the benchmark's hashes, FILTER_BYTES at most, lets the document side emit hits only; past
-that size it grows less selective and stays exact.  The join with the benchmark's hashes and that
+A filter of the benchmark's hashes lets the document side emit likely hits only.  The join with the benchmark's hashes and that
 with its items are ordinary joins, so a benchmark of any size works.
 
 Defined cases: letters of every script compare in lower case; a null or empty text holds nothing, a null or empty
-item is held by nothing; items shorter than the masks are found whole and unchanged only; equal items
+item is held by nothing; equal items
 are reported each; a document that repeats is reported once per doc_id and item; a null doc_id is a
 key like others; an empty table on either side gives no row; other columns are never read.
 """
@@ -26,12 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import keep_ids, written
-from rolegraph.llm._text import Words, binary_list, int64, mix64, stream, text_slices
+from rolegraph.llm._bloom import bloom, probe
+from rolegraph.llm._spark import keep_ids, small_batches, small_enough, written
+from rolegraph.llm._text import Words, int64, mix64, stream, text_slices
 
 MASKS = ("11111", "1110011", "1101011")
+#: Laid as well for items of no more than BRIEF words.
+BRIEF_MASKS = ("1111", "10111", "11011", "11101")
+BRIEF = 10
 SIMILARITY = 0.8
-FILTER_BYTES = 16 << 20
+#: Places where items may lie in a document that one row holds, about.
+LAYS = 4_096
 
 _STEP = stream(23, 4096) | np.uint64(1)
 
@@ -53,53 +59,36 @@ def windows(words: Words, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray,
     return mix64(acc), doc, place
 
 
-def _seeds(masks: tuple[str, ...], whole: tuple[int, ...], bits: np.ndarray | None):
-    """(doc, hash, place) of the masks' windows, only those in the filter where one is given; whole: spans tried as they are."""
-    laid = [(m, k + 1) for k, m in enumerate(masks)] + [("1" * n, 1000 + n) for n in whole]
+def laid_masks(lengths: list[int]) -> list[tuple[str, int, int, int]]:
+    """(mask, salt, least and most words of the items it is laid for) for items of such lengths, of which only those up to BRIEF matter."""
+    least = len(MASKS[0])
+    out = [(m, k + 1, least, 1 << 62) for k, m in enumerate(MASKS)]
+    if any(least <= n <= BRIEF for n in lengths):
+        out += [(m, k + 101, least, BRIEF) for k, m in enumerate(BRIEF_MASKS)]
+    return out + [("1" * n, 1000 + n, n, n) for n in lengths if n < least]
+
+
+def _seeds(laid: list[tuple[str, int, int, int]], shared=None):
+    """(id, hash, place, words) of the masks' windows: of items, or of documents where the filter is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets)
-                for mask, salt in laid:
+                for mask, salt, least, most in laid:
                     h, doc, place = windows(words, mask, salt)
-                    if bits is None and salt > 1000:
-                        keep = (words.counts() == salt - 1000)[doc]
-                        h, doc, place = h[keep], doc[keep], place[keep]
-                    if bits is not None:
-                        keep = probe(bits, h)
-                        h, doc, place = h[keep], doc[keep], place[keep]
+                    size = words.counts()[doc]
+                    keep = (size >= least) & (size <= most) if shared is None else probe(shared.value, h)
+                    h, doc, place, size = h[keep], doc[keep], place[keep], size[keep]
                     if len(h):
-                        sizes = words.counts()[doc]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(int64(h)), pa.array(place.astype(np.int64)), pa.array(sizes.astype(np.int64))], names=["id", "hash", "place", "words"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(int64(h)), pa.array(place.astype(np.int64)), pa.array(size.astype(np.int64))], names=["id", "hash", "place", "words"])
 
     return run
 
 
-def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the filter has both of a hash's bits."""
-    n = np.uint64(len(bits) * 8 - 1)
-    one = h & n
-    out = (bits[(one >> np.uint64(3)).astype(np.int64)] >> (one & np.uint64(7)).astype(np.uint8)) & 1 != 0
-    at = np.flatnonzero(out)
-    two = (h[at] >> np.uint64(32)) & n
-    out[at] = (bits[(two >> np.uint64(3)).astype(np.int64)] >> (two & np.uint64(7)).astype(np.uint8)) & 1 != 0
-    return out
-
-
-def _filters(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, dtype=np.uint8)
-        n = np.uint64(size * 8 - 1)
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            for x in (h & n, (h >> np.uint64(32)) & n):
-                np.bitwise_or.at(bits, (x >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (x & np.uint64(7)).astype(np.uint8)))
-        part = 1 << 16
-        some = [k for k in range(0, size, part) if bits[k : k + part].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([bits[k : k + part].tobytes() for k in some], pa.binary())], names=["at", "bits"])
-
-    return run
+def _longs(values: list[np.ndarray]) -> pa.Array:
+    sizes = np.concatenate(([0], np.cumsum([len(x) for x in values])))
+    return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(int64(np.concatenate(values)) if len(values) else [], pa.int64()))
 
 
 def _words_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +96,7 @@ def _words_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for a, b, data, offsets in text_slices(batch.column(1)):
             words = Words(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary_list(words.hashes, words.first)], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(int64(words.hashes)))], names=["id", "words"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,45 +113,32 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     doc.append(i)
                     item.append(lay["item_id"])
                     lead.append((s, max(0, -s)))
-                    seg.append(own[max(0, s) : max(0, e)].tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array([x[0] for x in lead], pa.int64()), pa.array([x[1] for x in lead], pa.int64()), pa.array(seg, pa.binary())], names=["doc_id", "item_id", "lies", "lead", "segment"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same, total = [], []
-        for seg, lead, own in zip(batch["segment"].to_pylist(), batch["lead"].to_pylist(), batch["item_words"].to_pylist()):
-            seg, own = np.frombuffer(seg, np.uint64), np.frombuffer(own, np.uint64)
-            part = own[lead : lead + len(seg)]
-            same.append(int((seg[: len(part)] == part).sum()))
-            total.append(len(own))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["item_id"], batch["lies"], pa.array(same, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "item_id", "lies", "matched", "item_words"])
+                    seg.append(own[max(0, s) : max(0, e)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array([x[0] for x in lead], pa.int64()), pa.array([x[1] for x in lead], pa.int64()), _longs(seg)], names=["doc_id", "item_id", "lies", "lead", "segment"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, word_at, matched, item_words): the best overlap of each document and item that reach the similarity."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.lower(item_text).alias("text"))
-    tokens = written(items.mapInArrow(_words_column, "id long, words binary").where("length(words) > 0").select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), (F.length("words") / 8).cast("int").alias("n")), "bench-words")
-    short = tuple(sorted(r.n for r in tokens.where(F.col("n") < len(MASKS[0])).select("n").distinct().collect()))
-    seeds = items.mapInArrow(_seeds(MASKS, short, None), "id long, hash long, place long, words long")
+    tokens = written(items.mapInArrow(_words_column, "id long, words array<long>").where("size(words) > 0").select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), F.size("words").alias("n")), "bench-words")
+    laid = laid_masks(sorted(r.n for r in tokens.where(F.col("n") <= BRIEF).select("n").distinct().collect()))
+    seeds = items.mapInArrow(_seeds(laid), "id long, hash long, place long, words long")
     seeds = written(seeds.select(F.col("id").alias("item_id"), "hash", "place", F.col("words").alias("n")).distinct(), "bench-seeds")
-    count = seeds.count()
-    size = 1 << 12
-    while size < FILTER_BYTES and size * 8 < 256 * count:
-        size *= 2
-    bits = np.zeros(size, dtype=np.uint8)
-    for r in seeds.select("hash").mapInArrow(_filters(size), "at long, bits binary").toLocalIterator():
-        own = np.frombuffer(r.bits, np.uint8)
-        bits[r.at : r.at + len(own)] |= own
-    hits = rows.mapInArrow(_seeds(MASKS, short, bits), "id long, hash long, place long, words long").select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("at"))
+    bits = spark.sparkContext.broadcast(bloom(seeds.select("hash"), 256))
+    hits = rows.mapInArrow(_seeds(laid, bits), "id long, hash long, place long, words long").select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("at"))
     lays = hits.join(seeds, "hash").select("doc_id", F.struct("item_id", (F.col("at") - F.col("place")).alias("lies"), "n").alias("lay")).distinct()
-    lays = written(lays.groupBy("doc_id").agg(F.collect_list("lay").alias("lays")), "bench-lays")
+    lays = written(lays, "bench-lays")
+    many = written(lays.groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > LAYS).select(F.col("doc_id").alias("many_id"), F.ceil(F.col("c") / LAYS).alias("cuts")), "bench-many")
+    lays = lays.join(F.broadcast(many) if small_enough(many) else many, F.col("doc_id").eqNullSafe(F.col("many_id")), "left").withColumn("cut", F.pmod(F.xxhash64("lay"), F.coalesce("cuts", F.lit(1))))
+    lays = written(lays.groupBy("doc_id", "cut").agg(F.collect_list("lay").alias("lays")).select("doc_id", "lays"), "bench-lays")
     near = keep_ids(rows, _ids(lays), "left_semi")
     met = near.join(lays.select(F.col("doc_id").alias("id"), "lays"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "lays")
-    cut = met.mapInArrow(_segments, "doc_id long, item_id long, lies long, lead long, segment binary")
-    compared = cut.join(tokens.select("item_id", "item_words"), "item_id").mapInArrow(_compare, "doc_id long, item_id long, lies long, matched long, item_words long")
+    cut = met.mapInArrow(_segments, "doc_id long, item_id long, lies long, lead long, segment array<long>")
+    same = F.size(F.filter(F.zip_with(F.slice("item_words", (F.col("lead") + 1).cast("int"), F.size("segment")), F.col("segment"), lambda x, y: x == y), lambda x: x)).cast("long")
+    compared = cut.join(tokens.select("item_id", "item_words", "n"), "item_id").select("doc_id", "item_id", "lies", same.alias("matched"), F.col("n").cast("long").alias("item_words"))
     good = compared.where(F.col("matched") >= F.ceil(F.col("item_words") * F.lit(similarity) - 1e-9))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", -F.col("lies"))).alias("m"), F.max("item_words").alias("item_words"))
     return best.select("doc_id", "item_id", F.greatest(F.lit(0), -F.col("m.col2")).alias("word_at"), F.col("m.matched").alias("matched"), "item_words")

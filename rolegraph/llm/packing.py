@@ -2,7 +2,7 @@
 
 Documents keep their order.  Their ids form a stream that is cut into windows of at most `width` ids;
 a cut may stand where a document ends (no penalty), where a sentence ends (SENTENCE), or, where
-neither lies within a window's reach and near the end of a block, at any id (HARD).  The cuts
+a quarter of a window has neither, at every HARD_STEP-th id, and near the end of a block at any id (HARD).  The cuts
 minimise, over a block of documents, padding + penalties + EACH for every sequence, where a window
 shorter than `width` is padded to it unless its length is a power of two.
 
@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolegraph.llm._spark import small_batches
 from rolegraph.llm._text import text_slices
 from rolegraph.llm._tokens import PIECE, encoder, with_end
 
 WIDTH = 2048
 SENTENCE, HARD, EACH = 4, 48, 2
+HARD_STEP = 64
 #: The shortest window that a power of two frees from padding, but for a block's last ids.
 LEAST_POWER = 64
 BLOCK_IDS = 1 << 18
@@ -43,14 +45,6 @@ BLOCK_IDS = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def sentence_ends(tokenizer: str) -> np.ndarray:
-    """For each id, whether it ends a sentence: its last sign is a full stop, question or exclamation mark."""
-    vocab = encoder(tokenizer).full.get_vocab()
-    out = np.zeros(max(vocab.values()) + 1, dtype=bool)
-    out[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
-    return out
-
-
 def cut_points(total: int, docs: np.ndarray, sentences: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending places where a cut may stand, 0 and total included, and their penalties."""
     penalty = {}
@@ -58,7 +52,7 @@ def cut_points(total: int, docs: np.ndarray, sentences: np.ndarray, width: int)
     gaps = np.diff(at)
     hard = [np.arange(max(0, total - 2 * width), total)]
     for a, g in zip(at[:-1][gaps > width // 4].tolist(), gaps[gaps > width // 4].tolist()):
-        hard.append(np.arange(a + width // 4, a + g, 64))
+        hard.append(np.arange(a + width // 4, a + g, HARD_STEP))
     at = np.union1d(at, np.concatenate(hard))
     penalty = np.full(len(at), HARD, dtype=np.int64)
     penalty[np.isin(at, sentences, assume_unique=True)] = SENTENCE
@@ -128,7 +122,8 @@ def _pack(tokenizer: str, end_id: int, width: int):
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")]), first + len(windows) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ends = encoder(tokenizer), sentence_ends(tokenizer)
+        enc = encoder(tokenizer)
+        ends = enc.stops
         first = TaskContext.get().partitionId() << 33
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         count = 0
@@ -156,5 +151,6 @@ def _pack(tokenizer: str, end_id: int, width: int):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of docs in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_pack(tokenizer, end_id, width), PIECES)
