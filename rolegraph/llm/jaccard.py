@@ -1,22 +1,29 @@
 """Documents linked by Jaccard similarity of word shingles, through a token-group matrix.
 
 Sets.  A document's set is its distinct runs of five lower-cased words (all its words, if fewer).
-Equal sets are one class, and from there on a class takes the place of its documents.
+Equal sets are one class, and from there on a class takes the place of its documents.  A class is
+named by a 64-bit hash of its set; a second hash tells whether two sets share a name, and then stands
+in for it.
 
 Order.  Shingles are ordered by how many documents hold them, as a count sketch of fixed size over
 all documents estimates it, and then by hash: any order that all documents share is right, and this
 one puts what many documents hold last.  Two sets that reach the similarity meet in the first
-n - ceil(t n) + 1 shingles of each (their prefix), at places that leave room for the overlap.
+n - ceil(t n) + 1 shingles of each (their prefix), at places that leave room for the overlap.  Classes
+that share no shingle of a prefix with another class are linked with nothing and leave here.
 
-Groups.  Classes that share half their minimum hashes with the smallest class among those that share
-one are compared with it, which makes stars of verified links; what stars connect is a group of similar documents, cut into parts of
-about GROUP classes.
+Groups.  The others are partitioned: each class joins the one of its KEYS minimum hashes that most
+classes share, so a family of near copies ends in a few groups however large it is.  A group is cut
+into parts of PART_TOKENS shingles.
 
-Matrix.  A row is a shingle of a prefix, its columns are the groups that hold it.  A class asks the
-groups it shares a row with; the overlap of its set with the union of a group's sets bounds that with
-any member; only groups whose bound reaches the least overlap that the similarity needs are opened
-and compared member by member.  A group is connected already, so one link into it is enough, and no
-pair inside a group is ever made.  At most one group of a row, the largest, answers without asking.
+Matrix.  A row is a shingle of a prefix, its columns are the parts that hold it, with the sizes and
+places found there.  Two parts whose columns meet in a row with room for the overlap are a cell.
+
+Asking.  To open a part is to compare queries with its members: the part's token union bounds each
+query's overlap with any member, and only queries whose bound reaches what the smallest fitting
+member needs are compared, a block at a time.  A block passes over members that are connected with
+all its queries already, and reports one link for two components that it joins, so links stay below
+the number of classes.  In the first round every class asks its own part, and classes of a large
+group ask its first part; what that leaves apart asks the parts of its cells in the second round.
 
 The result is what all pairs would give: sets are compared by 64-bit hashes of their shingles, and
 nothing is left out, capped or sampled.
@@ -34,10 +41,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import connected_components, keep_ids, release, written
+from rolegraph.llm._bloom import bloom, probe
+from rolegraph.llm._spark import connected_components, keep_ids, release, small_batches, small_enough, written
 from rolegraph.llm._text import Words, binary_list, distinct_per_doc, int64, mix64, shingles, stream, text_slices
 
 WIDTH = 5
@@ -45,9 +53,13 @@ WIDTH = 5
 TIMES, PER = 4, 5
 COUNTERS = 1 << 22
 CHUNK = 1 << 16
-KEYS = 4
-#: Classes in a part of a group, about.
-GROUP = 64
+KEYS = 6
+#: Shingles of a part, and of the queries that meet it in one task, about.
+PART_TOKENS = 1 << 19
+#: Queries that are compared at once; members that make a shingle a column of the dense part; its numbers at most.
+AT_ONCE = 128
+DENSE = 12
+DENSE_CELLS = 8 << 20
 
 _SALT = stream(29, KEYS) | np.uint64(1)
 
@@ -61,16 +73,30 @@ def _doc_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return distinct_per_doc(*shingles(Words(data, offsets), width))
 
 
-def _class_ids(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A hash of each document's whole set."""
+def class_ids(sets: np.ndarray, begin: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's whole set, the first of so many bits."""
     a = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)))
     b = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets + np.uint64(0x1234567)), dtype=np.uint64)))
-    return mix64((a[begin[1:]] - a[begin[:-1]]) ^ mix64(b[begin[1:]] - b[begin[:-1]] + np.diff(begin).astype(np.uint64)))
+    a, b = (mix64(x[begin[1:]] - x[begin[:-1]] + np.diff(begin).astype(np.uint64)) for x in (a, b))
+    return mix64(a ^ mix64(b)) >> np.uint64(64 - bits), mix64(b + mix64(a))
+
+
+class Naming:
+    """How a task names classes: by the first hash, by the second where two sets share the first."""
+
+    def __init__(self, width: int, bits: int = 64, shared: list[int] = ()):
+        self.width, self.bits, self.shared = width, bits, np.sort(np.array(shared, dtype=np.int64))
+
+    def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sets, where each document's begins, and its class."""
+        sets, begin = _doc_sets(data, offsets, self.width)
+        one, two = map(int64, class_ids(sets, begin, self.bits))
+        return sets, begin, np.where(np.isin(one, self.shared), two, one) if len(self.shared) else one
 
 
-def _profile(width: int):
-    """A row per document (class, size, minimum hashes), and the task's part of the sketch."""
-    names = ["kind", "doc_id", "n", "class", "keys", "at", "counts"]
+def _profile(width: int, bits: int):
+    """A row per document (size, both names of its class, minimum hashes), and the task's part of the sketch."""
+    names = ["kind", "doc_id", "n", "one", "two", "keys", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(COUNTERS, dtype=np.int32), [], 0
@@ -91,16 +117,19 @@ def _profile(width: int):
                 full = np.flatnonzero(n)
                 if len(full):
                     for k in range(KEYS):
-                        keys[full, k] = np.minimum.reduceat(sets * _SALT[k], begin[:-1][full])
+                        keys[full, k] = np.minimum.reduceat(mix64(sets * _SALT[k]), begin[:-1][full])
                 held.append(sets)
                 size += len(sets)
                 if size > COUNTERS >> 3:
                     add()
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(int64(_class_ids(sets, begin))), pa.array(list(int64(keys)), pa.list_(pa.int64())), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
+                one, two = class_ids(sets, begin, bits)
+                columns = [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(int64(one)), pa.array(int64(two))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * (b - a) + 1, KEYS, dtype=np.int32)), pa.array(int64(keys.ravel()))), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
         add()
         some = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1))
         packed = [zlib.compress(np.minimum(counts[c * CHUNK : (c + 1) * CHUNK], 255).astype(np.uint8).tobytes(), 1) for c in some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+        none = [pa.nulls(len(some), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), *none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
@@ -114,161 +143,272 @@ def _levels(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["at", "levels"])
 
 
-def _prefixes(width: int, levels: np.ndarray):
-    """(shingle, class, n, place) of each document's prefix."""
+def _prefixes(naming: Naming, levels, bits=None):
+    """(shingle, class, n, place) of each document's prefix; bits: only of shingles that the filter has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
-                sets, begin = _doc_sets(data, offsets, width)
-                own, n = int64(_class_ids(sets, begin)), np.diff(begin)
+                sets, begin, own = naming.sets(data, offsets)
+                n = np.diff(begin)
                 fresh = np.array([c not in seen and (seen.add(c) or True) for c in own.tolist()], dtype=bool) & (n > 0)
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 doc = np.repeat(np.arange(len(n)), n)
-                key = (levels[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (sets >> np.uint64(8))
+                key = (levels.value[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (sets >> np.uint64(8))
                 order = np.lexsort((key, doc))
                 place = np.arange(len(sets)) - begin[:-1][doc]
                 keep = (place < (n - least_overlap(n) + 1)[doc]) & fresh[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(int64(sets[order][keep])), pa.array(own[doc][keep]), pa.array(n[doc][keep].astype(np.int32)), pa.array(place[keep].astype(np.int32))], names=["shingle", "class", "n", "place"])
+                sets, doc, place = sets[order][keep], doc[keep], place[keep]
+                if bits is not None:
+                    keep = probe(bits.value, sets)
+                    sets, doc, place = sets[keep], doc[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(int64(sets)), pa.array(own[doc]), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32))], names=["shingle", "class", "n", "place"])
 
     return run
 
 
-def _sets(width: int):
+def _sets(naming: Naming):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
-                sets, begin = _doc_sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([pa.array(int64(_class_ids(sets, begin))), binary_list(sets, begin)], names=["class", "set"])
+                sets, begin, own = naming.sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(own), binary_list(sets, begin)], names=["class", "set"])
 
     return run
 
 
-def _set(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype=np.uint64)
-
-
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two ascending arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    x = common(a, b)
-    return x * PER >= (len(a) + len(b) - x) * TIMES
-
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def spanning_links(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, ask_sets: list[np.ndarray], own: bool, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join components among a part's members and its queries (asks, and the members themselves if own); known: the components of ids and asks so far."""
+    size = np.array([len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    union, column = np.unique(tokens, return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    # the bound of a query's overlap with any member is its overlap with the union
+    queries = (list(zip(ids.tolist(), sets)) if own else []) + list(zip(asks.tolist(), ask_sets))
+    q_size = np.array([len(s) for _, s in queries])
+    q_tokens = np.concatenate([s for _, s in queries])
+    q_doc = np.repeat(np.arange(len(queries)), q_size)
+    at = np.searchsorted(union, q_tokens)
+    at[at == len(union)] = 0
+    hit = union[at] == q_tokens
+    bound = np.bincount(q_doc[hit], minlength=len(queries))
+    fits = np.maximum(size.min(), least_overlap(q_size))
+    opened = (bound * (PER + TIMES) >= (q_size + fits) * TIMES) & (q_size * PER >= size.min() * TIMES) & (size.max() * PER >= q_size * TIMES)
+    if not opened.any():
+        return []
+    nodes, one = np.unique(np.concatenate((ids, asks)), return_index=True)
+    label = np.arange(len(nodes)) if known is None else np.unique(known[one], return_inverse=True)[1]
+    member, asker = np.searchsorted(nodes, ids), np.searchsorted(nodes, np.array([k for k, _ in queries]))
+    # overlaps: frequent shingles as a dense product, the others by their members
+    frequency = np.bincount(column, minlength=len(union))
+    dense = np.argsort(-frequency, kind="stable")[: min(DENSE_CELLS // len(ids), int((frequency >= DENSE).sum()))]
+    row = np.full(len(union), -1)
+    row[dense] = np.arange(len(dense))
+    matrix = np.zeros((len(ids), len(dense)), dtype=np.float32)
+    holder = np.repeat(np.arange(len(ids)), size)
+    full = row[column] >= 0
+    matrix[holder[full], row[column[full]]] = 1
+    by = np.argsort(column[~full], kind="stable")
+    posted, rare = holder[~full][by], column[~full][by]
+    first = np.searchsorted(rare, np.arange(len(union) + 1))
+    q_begin = np.concatenate(([0], np.cumsum(q_size)))
+    left, out = np.flatnonzero(opened), []
+    while len(left):
+        left = left[np.argsort(label[asker[left]], kind="stable")]
+        now = left[:AT_ONCE]
+        same = now[label[asker[now]] == label[asker[now[0]]]]
+        if len(same) >= AT_ONCE // 4 or len(same) == len(now):  # queries of one component pass over its members
+            now = same
+            some = np.flatnonzero(label[member] != label[asker[now[0]]])
+        else:
+            some = np.arange(len(ids))
+        left = left[~np.isin(left, now)]
+        if not len(some):
+            continue
+        take = np.concatenate([np.arange(q_begin[i], q_begin[i + 1]) for i in now])
+        take = take[hit[take]]
+        who, col = np.searchsorted(now, q_doc[take]) if (now[1:] > now[:-1]).all() else np.argsort(now)[np.searchsorted(np.sort(now), q_doc[take])], at[take]
+        few = row[col] < 0
+        asked = np.zeros((len(now), len(dense)), dtype=np.float32)
+        asked[who[~few], row[col[~few]]] = 1
+        overlap = asked @ matrix[some].T
+        n = first[col[few] + 1] - first[col[few]]
+        if n.sum():
+            of = np.repeat(np.arange(len(n)), n)
+            post = np.arange(len(of)) - (np.cumsum(n) - n - first[col[few]])[of]
+            overlap += np.bincount(who[few][of] * len(ids) + posted[post], minlength=len(now) * len(ids)).reshape(len(now), len(ids))[:, some]
+        linked = overlap * (PER + TIMES) >= (q_size[now][:, None] + size[some]) * TIMES
+        for i in np.flatnonzero(linked.any(axis=1)):
+            mine, met = asker[now[i]], member[some[linked[i]]]
+            for other in np.unique(label[met]):
+                if other != label[mine]:
+                    out.append((int(nodes[mine]), int(nodes[met[label[met] == other][0]])))
+                    label[label == other] = label[mine]
+    return out
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links found by opening parts; rows come sorted by part and salt, members before queries."""
+    key, held = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        kind, own, ids, label = (np.concatenate([h[k] for h in held]) for k in range(4))
+        sets = [np.frombuffer(x, np.uint64) for h in held for x in h[4].to_pylist()]
+        members, asks = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        if len(members) and (len(asks) or own[members[0]] and len(members) > 1):
+            found = spanning_links(ids[members], [sets[i] for i in members], ids[asks], [sets[i] for i in asks], bool(own[members[0]]), label[np.concatenate((members, asks))])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [linked(_set(x), _set(y)) for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        part, salt = batch["part"].to_numpy(), batch["salt"].to_numpy()
+        cuts = np.flatnonzero((part[1:] != part[:-1]) | (salt[1:] != salt[:-1])) + 1 if len(part) else []
+        for s, e in zip([0, *cuts], [*cuts, len(part)]):
+            if s == e:
+                continue
+            if key is not None and key != (part[s], salt[s]):
+                yield from flush()
+                held = []
+            key = (part[s], salt[s])
+            one = batch.slice(s, e - s)
+            held.append((one["kind"].to_numpy(), one["own"].to_numpy(zero_copy_only=False), one["class"].to_numpy(), one["label"].to_numpy(), one["set"]))
+    if held:
+        yield from flush()
 
 
-def _unions(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
-    """A part of a group: its members, their sets one after another, and the sets' union."""
-    sets = [_set(x) for x in members["set"].to_pylist()]
-    union = np.unique(np.concatenate(sets))
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    return pa.table({"group": [key[0].as_py()], "part": [key[1].as_py()], "members": pa.array([members["class"].to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())), "sets": pa.array([np.concatenate(sets).tobytes()], pa.binary()), "tokens": pa.array([union.tobytes()], pa.binary())})
+def _if_small(side: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A written side, broadcast if its rows are few enough; else Spark joins by shuffle."""
+    return F.broadcast(side) if small_enough(side, row_bytes) else side
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open the groups whose bound qualifies; (a, b) for the first member that links, if any."""
-    for batch in batches:
-        a, b = [], []
-        for i in range(batch.num_rows):
-            own, sizes = _set(batch["set"][i].as_py()), batch["sizes"][i].values.to_numpy()
-            bound = common(own, _set(batch["tokens"][i].as_py()))
-            if bound < least_overlap(len(own)):
-                continue
-            fit = (sizes * PER >= len(own) * TIMES) & (len(own) * PER >= sizes * TIMES) & (least_overlap(sizes) <= bound)
-            every, stops = _set(batch["sets"][i].as_py()), np.cumsum(sizes)
-            for m in np.flatnonzero(fit):
-                if linked(own, every[stops[m] - sizes[m] : stops[m]]):
-                    a.append(batch["class"][i].as_py())
-                    b.append(batch["members"][i].values[m].as_py())
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) for every document, and (node, component) for every class that is linked with another."""
+def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, name_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class) for every document, and (class, docs, doc_id, component) for every class: component is null where no other class is linked."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(rows.mapInArrow(_profile(width), "kind int, doc_id long, n long, class long, keys array<long>, at int, counts binary"), "jaccard-profile")
+    profile = written(rows.mapInArrow(_profile(width, name_bits), "kind int, doc_id long, n long, one long, two long, keys array<long>, at int, counts binary"), "jaccard-profile")
     of_docs = profile.where("kind = 0")
     levels = np.zeros(COUNTERS, dtype=np.uint8)
     for r in profile.where("kind = 1").select("at", "counts").groupBy("at").applyInArrow(_levels, "at int, levels binary").collect():  # COUNTERS bytes in all
         levels[r["at"] * CHUNK : (r["at"] + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
-    shared_levels = spark.sparkContext.broadcast(levels)
-
-    classes = of_docs.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"))
-    classes = written(classes, "jaccard-classes")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(class, set) of the wanted classes, each from one of its documents."""
-        ids = written(classes.join(wanted, "class", "left_semi").select("doc_id"), "jaccard-wanted")
-        got = keep_ids(rows, ids, "left_semi").mapInArrow(_sets(width), "class long, set binary")
-        return written(got.dropDuplicates(["class"]), "jaccard-sets")
-
-    # groups: stars around the smallest class of each minimum hash, where half the minimum hashes agree
-    keyed = classes.select("class", "n", "keys", F.posexplode("keys").alias("k", "hash"))
-    stars = keyed.groupBy("k", "hash").agg(F.min(F.struct("class", "n", "keys")).alias("p"), F.count("*").alias("c")).where("c > 1").select("k", "hash", "p")
-    agree = F.size(F.filter(F.arrays_zip(F.col("keys").alias("x"), F.col("p.keys").alias("y")), lambda z: z["x"] == z["y"]))
-    fit = (F.col("n") * PER >= F.col("p.n") * TIMES) & (F.col("p.n") * PER >= F.col("n") * TIMES)
-    pairs = keyed.join(stars, ["k", "hash"]).where((F.col("class") != F.col("p.class")) & fit & (agree * 2 >= KEYS))
-    pairs = written(pairs.select(F.col("class").alias("a"), F.col("p.class").alias("b")).distinct(), "jaccard-stars")
-    sets = sets_of(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
-    met = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    edges = written(met.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"), "jaccard-edges")
-    release(spark, sets, pairs)
-    groups = connected_components(edges, "jaccard-groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    groups = written(groups.join(sizes, "component").select(F.col("node").alias("class"), F.col("component").alias("group"), "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).alias("part")), "jaccard-parts")
-
-    # the matrix: shingles of prefixes that more than one group holds
-    levels_of = shared_levels
-    entries = rows.mapInArrow(lambda it: _prefixes(width, levels_of.value)(it), "shingle long, class long, n int, place int").repartition("shingle")
-    by_shingle = Window.partitionBy("shingle")
-    entries = entries.withColumn("lo", F.min("class").over(by_shingle)).withColumn("hi", F.max("class").over(by_shingle)).where("lo <> hi").drop("lo", "hi").distinct()
-    entries = entries.join(groups, "class", "left").select("shingle", "class", "n", "place", F.coalesce("group", "class").alias("group"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("part", F.lit(0)).alias("part"))
-    entries = entries.repartition("shingle").withColumn("top", F.max(F.struct("size", "group")).over(by_shingle)["group"]).withColumn("low", F.min("group").over(by_shingle)).withColumn("high", F.max("group").over(by_shingle)).where("low <> high").drop("low", "high")
-    entries = written(entries, "jaccard-matrix")
-    asks = entries.where("group <> top").select("shingle", "class", F.col("n").alias("qn"), F.col("place").alias("qp"), F.col("group").alias("qg"))
-    room = "1 + least(qn - qp, n - place) - 1 >= ceil((qn + n) * {t} / ({p} + {t})) and n * {p} >= qn * {t} and qn * {p} >= n * {t}".format(t=TIMES, p=PER)
-    answers = entries.select("shingle", "n", "place", "group", "part", "top")
-    cells = asks.join(answers, "shingle").where(f"group <> qg and (group = top or qg < group) and {room}").select("class", "group", "part").distinct()
-    cells = written(cells, "jaccard-cells")
+    levels = spark.sparkContext.broadcast(levels)
+
+    def classes_of(named: DataFrame) -> DataFrame:
+        full = named.where("n > 0").groupBy("class")
+        return written(full.agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"), F.count("*").alias("docs"), F.min("two").alias("low"), F.max("two").alias("high")), "jaccard-classes")
+
+    named = of_docs.withColumn("class", F.col("one"))
+    classes = classes_of(named)
+    shared = [r["class"] for r in classes.where("low <> high").select("class").collect()]  # names that chance gave to two sets
+    if shared:
+        release(spark, classes)
+        named = of_docs.withColumn("class", F.when(F.col("one").isin(shared), F.col("two")).otherwise(F.col("one")))
+        classes = classes_of(named)
+    naming = Naming(width, name_bits, shared)
+
+    # shingles that prefixes of two classes hold, then the matrix's entries for those
+    met = rows.mapInArrow(_prefixes(naming, levels), "shingle long, class long, n int, place int")
+    met = met.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
+    met = written(met, "jaccard-shingles")
+    bits = spark.sparkContext.broadcast(bloom(met))
+    entries = written(rows.mapInArrow(_prefixes(naming, levels, bits), "shingle long, class long, n int, place int"), "jaccard-entries")
+    release(spark, met)
+
+    # groups: the minimum hash that most classes share; parts of about PART_TOKENS shingles
+    some = written(classes.join(entries.select("class").distinct(), "class", "left_semi").select("class", "n", "keys"), "jaccard-some")
+    keyed = some.select("class", F.posexplode("keys").alias("k", "hash"))
+    popular = written(keyed.groupBy("k", "hash").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-popular")
+    chosen = keyed.join(_if_small(popular), ["k", "hash"]).groupBy("class").agg(F.max(F.struct("c", "k", "hash")).alias("top"))
+    grouped = written(some.join(chosen, "class", "left").select("class", "n", F.when(F.col("top").isNull(), F.col("class")).otherwise(F.xxhash64("top.k", "top.hash")).alias("group")), "jaccard-groups")
+    large = grouped.groupBy("group").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > PART_TOKENS)
+    large = written(large.select("group", F.ceil(F.col("tokens") / PART_TOKENS).alias("cuts")), "jaccard-large")
+    place = F.pmod(F.xxhash64("class"), F.coalesce("cuts", F.lit(1)))
+    members = grouped.join(_if_small(large), "group", "left").withColumn("place", place)
+    part = lambda place: F.when(F.col("cuts").isNull(), F.col("group")).otherwise(F.xxhash64("group", place))
+    members = written(members.select("class", "n", "group", part(F.col("place")).alias("part"), part(F.lit(0).cast("long")).alias("first")), "jaccard-members")
+    release(spark, some, popular, grouped, large)
+
+    # the matrix and its cells
+    matrix = entries.join(members.select("class", "part"), "class").groupBy("shingle", "part").agg(F.max(F.col("n") - F.col("place")).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = written(matrix, "jaccard-matrix")
     release(spark, entries)
-    opened = cells.select("group", "part").distinct()
-    members = opened.join(groups.select("group", "part", "class"), ["group", "part"], "left").select("group", "part", F.coalesce("class", "group").alias("class"))
-    members = written(members, "jaccard-members")
-    sets = sets_of(cells.select("class").union(members.select("class")).distinct())
-    unions = members.join(sets, "class").groupBy("group", "part").applyInArrow(_unions, "group long, part long, members array<long>, sizes array<long>, sets binary, tokens binary")
-    asked = cells.join(sets, "class").join(unions, ["group", "part"]).select("class", "set", "members", "sizes", "sets", "tokens")
-    links = written(asked.mapInArrow(_ask, "a long, b long"), "jaccard-links")
-    release(spark, sets, cells, members)
-    components = connected_components(edges.union(links), "jaccard-components")
-    release(spark, edges, links, groups, classes)
-    return of_docs.select("doc_id", "n", "class"), components
-
-
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
+    a, b = (matrix.select("shingle", *(F.col(x).alias(f"{x}_{s}") for x in ("part", "room", "low", "high"))) for s in "ab")
+    fit = f"part_a < part_b and least(room_a, room_b) * {PER + TIMES} >= (low_a + low_b) * {TIMES} and high_a * {PER} >= low_b * {TIMES} and high_b * {PER} >= low_a * {TIMES}"
+    cells = written(a.join(b, "shingle").where(fit).select("part_a", "part_b").distinct(), "jaccard-cells")
+    release(spark, matrix)
+    parts = members.groupBy("part").agg(F.count("*").alias("size"), F.min("first").alias("first"))
+    asked = cells.select(F.explode(F.array("part_a", "part_b")).alias("part")).distinct()
+    parts = written(parts.join(asked.withColumn("asked", F.lit(True)), "part", "left").where("asked or size > 1").drop("asked"), "jaccard-part-list")
+    # sets of the classes that some part or cell compares, each from one of its documents
+    wanted = members.join(parts.select("part"), "part", "left_semi").select("class")
+    ids = written(classes.join(wanted, "class", "left_semi").select("doc_id"), "jaccard-wanted")
+    sets = written(keep_ids(rows, ids, "left_semi").mapInArrow(_sets(naming), "class long, set binary").dropDuplicates(["class"]), "jaccard-sets")
+    sizes = members.select("class", "n")
+
+    def opened(asks: DataFrame, own: bool, told: DataFrame) -> DataFrame:
+        """Links from opening parts: asks is a written table (class, part); own: members ask their own part too; told: members with their labels."""
+        many = asks.join(sizes, "class").groupBy("part").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > PART_TOKENS)
+        many = _if_small(written(many.select("part", F.ceil(F.col("tokens") / PART_TOKENS).cast("int").alias("salts")), "jaccard-salts"))
+        open_ = parts.where("size > 1").select("part").union(asks.select("part")).distinct() if own else asks.select("part").distinct()
+        salts = F.coalesce("salts", F.lit(1))
+        held = members.select("class", "part").join(open_, "part", "left_semi").join(many, "part", "left").select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "class")
+        held = held.select("part", "salt", F.lit(0).alias("kind"), (F.lit(own) & (F.col("salt") == 0)).alias("own"), "class")
+        asking = asks.join(many, "part", "left").select("part", F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(False).alias("own"), "class")
+        full = held.union(asking).join(sets.join(told.select("class", "label"), "class"), "class").select("part", "salt", "kind", "own", "class", "label", "set")
+        return written(full.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_open, "a long, b long"), "jaccard-links")
+
+    asks = written(members.where("part <> first").select("class", F.col("first").alias("part")), "jaccard-asks")
+    links = opened(asks, True, members.withColumn("label", F.col("class")))
+    components = connected_components(links, "jaccard-components")
+    release(spark, asks)
+    told = members.select("class", "part").join(components.withColumnRenamed("node", "class"), "class", "left").select("class", "part", F.coalesce("component", "class").alias("label"))
+    told = written(told, "jaccard-told")
+    state = told.groupBy("part", "label").agg(F.count("*").alias("c")).groupBy("part").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.count("*") == 1).alias("pure"), F.sum("c").alias("size"))
+    state = written(state.join(parts.select("part", "first"), "part"), "jaccard-state")
+    side = lambda s: state.select(*(F.col(x).alias(f"{x}_{s}") for x in state.columns))
+    apart = cells.join(side("a"), "part_a").join(side("b"), "part_b").where("not (first_a = first_b and (part_a = first_a or part_b = first_b)) and not (main_a = main_b and pure_a and pure_b)")
+    small = "(size_a < size_b or (size_a = size_b and part_a < part_b))"
+    ways = apart.select(
+        F.explode(
+            F.array(
+                F.when(F.expr(f"main_a = main_b and not pure_a or main_a <> main_b and {small}"), F.struct(F.col("part_a").alias("source"), F.col("part_b").alias("part"), F.col("main_b").alias("main"), F.col("pure_b").alias("pure"), F.expr("main_a = main_b").alias("same"))),
+                F.when(F.expr(f"main_a = main_b and not pure_b or main_a <> main_b and not {small}"), F.struct(F.col("part_b").alias("source"), F.col("part_a").alias("part"), F.col("main_a").alias("main"), F.col("pure_a").alias("pure"), F.expr("main_a = main_b").alias("same"))),
+            )
+        ).alias("w")
+    ).where("w is not null").select("w.*")
+    asks = ways.join(told.select(F.col("part").alias("source"), "class", "label"), "source").where("not ((same or pure) and label = main)").select("class", "part")
+    asks = written(asks, "jaccard-asks")
+    if asks.limit(1).count():
+        more = opened(asks, False, told)
+        both = written(links.union(more), "jaccard-links")
+        release(spark, links, more, components)
+        links, components = both, connected_components(both, "jaccard-components")
+    release(spark, asks, told, state, links, cells, parts, ids, sets, members)
+    out = written(classes.select("class", "docs", "doc_id").join(_if_small(components.withColumnRenamed("node", "class")), "class", "left"), "jaccard-linked")
+    release(spark, components, classes)
+    return named.select("doc_id", "n", "class"), out
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, name_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per document."""
-    of_docs, components = similar_classes(docs, text, key, width)
-    linked_ = of_docs.where("n > 0").join(components.select(F.col("node").alias("class"), "component"), "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("c"))
-    least = linked_.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
-    several = least.where("size > 1").select("c", "component_id")
-    out = linked_.join(several, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.union(of_docs.where("n = 0").select("doc_id", "n", "doc_id"))
+    spark = docs.sparkSession
+    of_docs, classes = similar_classes(docs, text, key, width, name_bits)
+    # minima over classes, not over documents; then only classes with company need a lookup
+    least = classes.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    several = classes.where("docs > 1 and component is null").select("class", F.col("doc_id").alias("component_id"))
+    several = several.union(classes.join(_if_small(written(least, "jaccard-least")), "component").select("class", "component_id"))
+    several = written(several, "jaccard-several")
+    release(spark, classes)
+    side = _if_small(several.select("class", "component_id", F.lit(True).alias("found")))
+    out = of_docs.join(side, (of_docs["class"] == side["class"]) & (of_docs["n"] > 0), "left")
+    return out.select(of_docs["doc_id"], F.col("n").alias("n_shingles"), F.when(F.col("found"), F.col("component_id")).otherwise(of_docs["doc_id"]).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:

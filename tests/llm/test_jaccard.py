@@ -71,3 +71,98 @@ def test_filter_and_empty(docs, no_docs):
     want = {k for k, _, c in brute([(r.doc_id, r.text) for r in docs.collect()]) if k == c}
     assert {r.doc_id for r in kept.collect()} == want
     assert M.jaccard_components(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_sets_that_share_a_name_stay_apart(spark, bits):
+    texts = [t for f in range(8) for t in family(40 + f, 6, 30 + 5 * f, 2)] + [prose(500 + i, 9) for i in range(40)]
+    rows = list(enumerate(texts + texts[:20]))
+    got = M.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), name_bits=bits)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("tokens, at_once", [(300, 4), (4000, 128)])
+def test_parts_blocks_and_rounds(spark, monkeypatch, tokens, at_once):
+    monkeypatch.setattr(M, "PART_TOKENS", tokens)  # large groups are cut
+    r = random.Random(9)
+    texts = family(3, 150, 60, 3) + family(4, 60, 200, 4) + [t for f in range(6) for t in family(50 + f, 10, 40, 2)]
+    base = prose(77, 60).split()
+    for i in range(80):  # one word changed: linked with neighbours only
+        w = list(base)
+        w[r.randrange(60)] = f"other{i}"
+        texts.append(" ".join(w))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = M.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_a_part_and_its_queries():
+    rng = random.Random(4)
+    sets, ids = [], []
+    for f in range(5):
+        base = rng.sample(range(10_000 * f, 10_000 * f + 500), 60)
+        for _ in range(40):
+            s = set(base)
+            for x in rng.sample(base, rng.randrange(9)):
+                s.discard(x)
+                s.add(rng.randrange(10_000 * f, 10_000 * f + 500))
+            sets.append(M.np.array(sorted(s), dtype=M.np.uint64))
+            ids.append(len(ids) * 7)
+    order = list(range(len(ids)))
+    rng.shuffle(order)
+    held, asks = sorted(order[:120]), sorted(order[120:])
+    for own in (True, False):
+        top = {i: i for i in ids}
+
+        def find(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for a in held if own else []:
+            for b in held:
+                if M.common(sets[a], sets[b]) * 9 >= (len(sets[a]) + len(sets[b])) * 4:
+                    top[find(ids[a])] = find(ids[b])
+        for a in asks:
+            for b in held:
+                if M.common(sets[a], sets[b]) * 9 >= (len(sets[a]) + len(sets[b])) * 4:
+                    top[find(ids[a])] = find(ids[b])
+        links = M.spanning_links(M.np.array([ids[i] for i in held]), [sets[i] for i in held], M.np.array([ids[i] for i in asks]), [sets[i] for i in asks], own)
+        own_top = {i: i for i in ids}
+
+        def got(i):
+            while own_top[i] != i:
+                i = own_top[i]
+            return i
+
+        for a, b in links:
+            assert got(a) != got(b)  # no link more than is needed
+            own_top[got(a)] = got(b)
+        assert {(i, j): find(i) == find(j) for i in ids for j in ids} == {(i, j): got(i) == got(j) for i in ids for j in ids}
+
+
+def test_a_family_grows_in_proportion(spark, monkeypatch):
+    made = {}
+    was = M.written
+
+    def counting(df, name):
+        out = was(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", counting)
+    monkeypatch.setattr(M, "PART_TOKENS", 8_000)
+    base, seen = prose(5, 60).split(), {}
+    for n in (250, 500, 1000):
+        r = random.Random(n)
+        texts = []
+        for i in range(n):
+            w = list(base)
+            w[r.randrange(60)] = f"w{i}"
+            texts.append(" ".join(w))
+        made.clear()
+        M.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).count()
+        seen[n] = {k: v for k in ("jaccard-links", "jaccard-asks", "jaccard-entries") for v in [sum(made[k][:2])]}
+    for n, v in seen.items():  # about 50, 200 and 800 pairs a document are linked
+        assert v["jaccard-links"] <= 3 * n and v["jaccard-asks"] <= 2 * n and v["jaccard-entries"] <= 8 * n, seen
