@@ -16,6 +16,7 @@ inputs of a prediction.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegraph.llm._spark import drawn, small_batches
 from rolegraph.llm._text import LOWER, SEPARATOR, mix64, stream, text_slices
 
 GRAMS = (1, 2, 3)
@@ -32,6 +34,8 @@ BUCKETS = 1 << 13
 DIM = 16
 PER_LANG = 1200
 EPOCHS, BATCH, RATE = 12, 32, 4.0
+#: With fewer texts set aside the temperature is 1 and nothing is rejected.
+LEAST_HELD = 20
 #: Of the calibration texts that are predicted right, the share that the threshold lets through.
 PASS = 0.995
 
@@ -144,7 +148,9 @@ def train(examples: list[tuple[str, bytes, bytes]], seed: int = 7) -> Model | No
             bias -= rate * wrong.sum(axis=0)
             emb -= rate * x.T @ back
     scores = (emb @ out).astype(np.float64)
-    judge = held if len(held) >= 20 else order
+    if len(held) < LEAST_HELD:
+        return Model(langs, scores, bias.astype(np.float64), 1.0, 0.0)
+    judge = held
     logits = np.concatenate([dense(judge[k : k + 256]) @ scores for k in range(0, len(judge), 256)]) + bias
     best = min((float(-np.log(_softmax(logits / t)[np.arange(len(judge)), y[judge]] + 1e-12).mean()), t) for t in np.geomspace(0.05, 5, 40))
     p = _softmax(logits / best[1])
@@ -170,13 +176,12 @@ def _predict(shared):
 
 def fit_langid(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", lang: str = "lang") -> Model | None:
     """A model from at most about PER_LANG rows of each language among those that `learn` allows."""
+    small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
-    limit = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, int(1_000_000 * min(1, PER_LANG / n)))]) if sizes else None
-    if limit is None:
+    if not sizes:
         return None
-    sample = rows.where(draw < limit[F.col("lang")]).select("lang", "text")
+    sample = rows.where(functools.reduce(lambda a, x: a | x, [(F.col("lang") == k) & drawn("doc_id", PER_LANG, n) for k, n in sorted(sizes.items())])).select("lang", "text")
     return train(sorted((r.lang, bytes(r.buckets), bytes(r.shares)) for r in sample.mapInArrow(_histograms, "lang string, buckets binary, shares binary").toLocalIterator()))
 
 

@@ -98,3 +98,51 @@ def test_languages(spark, docs, no_docs):
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[4].lang_pred != "und" and got[5].lang_pred == "bb"
     assert {x.lang_pred for x in langid.predict_lang(docs, langid.fit_langid(no_docs, F.lit(True))).collect()} == {"und"}
     assert langid.predict_lang(no_docs, model).count() == 0
+
+
+def mixed(x):
+    mask = (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & mask
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & mask
+    return x ^ (x >> 31)
+
+
+def test_languages_against_a_loop(spark):
+    r = random.Random(5)
+    stock = {"aa": ["kolu", "mera", "tipan"], "bb": ["schwer", "tzung", "pfahl"], "cc": ["éaux", "ième", "çeau"]}
+    rows = [(i, " ".join(r.choice(stock[k]) for _ in range(r.randrange(1, 20))), k) for i, k in enumerate(r.choices(list(stock), k=400))]
+    model = langid.fit_langid(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    odd = [(900, "Kolu 12 MERA\tx"), (901, "é"), (902, "a"), (903, "schwer " * 4000), (904, "schwer kolu"), (904, "schwer kolu"), (905, rows[0][1]), (906, None), (907, "日本語 42")]
+    texts = [(k, t) for k, t, _ in rows[:60]] + odd
+    signs, step = [int(x) for x in langid._SIGN], [int(x) for x in langid._STEP]
+    for got, (k, t) in zip(sorted(langid.predict_lang(spark.createDataFrame(texts, "doc_id long, text string"), model).collect(), key=lambda x: (x.doc_id)), sorted(texts, key=lambda x: x[0]), strict=True):
+        if t is None:
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        data, total, n = t.encode(), np.zeros(len(model.langs)), 0
+        for size in langid.GRAMS:
+            for i in range(len(data) - size + 1):
+                acc = sum(signs[data[i + j]] * step[j] for j in range(size)) + size & (1 << 64) - 1
+                total += model.scores[mixed(acc) % langid.BUCKETS]
+                n += 1
+        x = np.exp((total / max(n, 1) + model.bias) / model.temperature)
+        x /= x.sum()
+        assert got.lang_pred == model.langs[int(x.argmax())] and got.score == pytest.approx(x.max(), abs=1e-9)
+        assert got.rejected == (got.score < model.threshold)
+
+
+def test_few_examples_and_equal_draws(spark):
+    few = spark.createDataFrame([(1, "kolu mera", "aa"), (1, "kolu mera", "aa"), (2, "schwer", "bb"), (3, None, "aa"), (4, "x", None)], "doc_id long, text string, lang string")
+    model = langid.fit_langid(few, F.lit(True))
+    assert model.langs == ["aa", "bb"] and model.temperature == 1 and model.threshold == 0
+    assert len(langid.predict_lang(few, model).collect()) == 5
+
+
+def test_whole_texts_train_without_cuts():
+    rng = np.random.default_rng(3)
+    m = hmm.begin_model(np.full(6, 1 / 6), [rng.integers(0, 6, 300) for _ in range(4)], 3, 2)
+    classes, begin = rng.integers(0, 6, 900), np.array([0, 1, 500, 900])
+    starts, moves, emits, like = m.expect(classes, begin)
+    assert starts.sum() == pytest.approx(3) and moves.sum() == pytest.approx(897) and like == pytest.approx(m.log10(classes, begin).sum())
