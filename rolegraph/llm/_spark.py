@@ -80,6 +80,19 @@ def small_enough(df: DataFrame, row_bytes: int = ID_BYTES, limit: int = BROADCAS
     return df.limit(most + 1).count() <= most
 
 
+def with_running(df: DataFrame, lengths: str, out: str, step: int = 64) -> DataFrame:
+    """df with an array more: for each element of an int array, the sum of those before it.
+
+    Sums of blocks of `step` elements come first, so the cost of n elements is n * step + (n / step) ** 2.
+    """
+    add = lambda array: F.aggregate(array, F.lit(0), lambda a, x: a + x)
+    block = lambda i: F.floor(i / step).cast("int")
+    df = df.withColumn("__sums", F.transform(F.sequence(F.lit(0), block(F.size(lengths))), lambda k: add(F.slice(lengths, k * step + 1, F.lit(step)))))
+    df = df.withColumn("__bases", F.transform("__sums", lambda _, k: add(F.slice("__sums", F.lit(1), k))))
+    df = df.withColumn(out, F.transform(lengths, lambda _, i: F.get("__bases", block(i)) + add(F.slice(lengths, block(i) * step + 1, i % step))))
+    return df.drop("__sums", "__bases")
+
+
 def drawn(key: str, take: int, of: int) -> Column:
     """Whether a row belongs to a sample of about `take` rows out of `of`, by a 64-bit hash of its key."""
     if of <= take:

@@ -50,3 +50,11 @@ def test_no_python_and_empty(spark, docs, no_docs):
     assert secret_report(no_docs).count() == 0
     plan = secret_report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_opaque_tokens_are_whole_runs(spark):
+    late = "k" * 300 + "Q" + "z" * 300 + "7"
+    rows = [(1, f"é {late}.", "a"), (2, "letters-only-but-long-enough-to-be-one", "a"), (3, "12345678901234567890123", "a"), (4, "9233A8ECF7C5B09FE5949719", "a"), (5, None, "b")]
+    rows += [(10 + i, "9233A8ECF7C5B09FE5949719 key", f"o{i}") for i in range(3)]
+    got = {r.doc_id: r.spans for r in secret_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: f"opaque:2:{2 + len(late)}", 2: "", 3: "", 4: "", 5: "", 10: "", 11: "", 12: ""}
