@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegraph.llm._spark import with_running
+
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 
 
@@ -40,24 +42,23 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    differs = lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])
+    sorted_turns = sorted_turns.withColumn("escaped", F.transform("turns", lambda t: escape(t["text"])))
     # heads: where a block begins; a block is a role and its escaped texts
-    heads = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]))
+    heads = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), differs)
     block = lambda k: F.struct(
         F.get("turns", F.get("heads", k))["role"].alias("role"),
-        F.transform(F.slice("turns", F.get("heads", k) + 1, F.coalesce(F.get("heads", k + 1), F.size("turns")) - F.get("heads", k)), lambda t: escape(t["text"])).alias("texts"),
-    )
-    merged = sorted_turns.withColumn("heads", heads).select("conv_id", F.transform(F.sequence(F.lit(0), F.size("heads") - 1), block).alias("blocks"))
-    merged = merged.withColumn(
-        "parts", F.transform("blocks", lambda b: F.concat(F.lit("<s>"), escape(b["role"]), F.concat_ws("", F.transform(b["texts"], lambda t: F.concat(F.lit("[INST]"), t, F.lit("[/INST]")))), F.lit("</s>")))
+        F.slice("escaped", F.get("heads", k) + 1, F.coalesce(F.get("heads", k + 1), F.size("turns")) - F.get("heads", k)).alias("texts"),
     )
-    spans = lambda at, b: F.aggregate(
-        b["texts"],
-        F.struct((at + F.length(escape(b["role"])) + 3).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("s")),
-        lambda a, t: F.struct((a["at"] + 13 + F.length(t)).alias("at"), F.concat(a["s"], F.array(F.struct((a["at"] + 6).alias("start"), F.length(t).alias("length")))).alias("s")),
-    )["s"]
-    starts = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, q: a + F.length(q)))
-    loss = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("starts").alias("at")), lambda z: F.when(z["b"]["role"] == learn, spans(z["at"], z["b"])).otherwise(F.array().cast("array<struct<start:int,length:int>>"))))
-    return merged.withColumn("starts", starts).select("conv_id", F.concat_ws("", "parts").alias("formatted"), loss.alias("loss"))
+    merged = sorted_turns.withColumn("heads", heads).withColumn("blocks", F.transform(F.sequence(F.lit(0), F.size("heads") - 1), block))
+    joined = F.transform("blocks", lambda b: F.concat(F.lit("<s>"), escape(b["role"]), F.concat_ws("", F.transform(b["texts"], lambda t: F.concat(F.lit("[INST]"), t, F.lit("[/INST]")))), F.lit("</s>")))
+    # what stands before a turn's [INST] and belongs to it: the end of the block before and the head of its own
+    opens = F.transform("turns", lambda t, i: F.when(differs(i), F.when(i > 0, 7).otherwise(3) + F.length(escape(t["role"]))).otherwise(0))
+    merged = merged.withColumn("opens", opens).withColumn("lengths", F.zip_with("opens", "escaped", lambda o, e: o + 13 + F.length(e)))
+    merged = with_running(merged, "lengths", "before")
+    spans = F.transform("turns", lambda t, i: F.struct((F.get("before", i) + F.get("opens", i) + 6).alias("start"), F.length(F.get("escaped", i)).alias("length"), t["role"].alias("role")))
+    loss = F.transform(F.filter(spans, lambda s: s["role"] == learn), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    return merged.select("conv_id", F.concat_ws("", joined).alias("formatted"), loss.alias("loss"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:

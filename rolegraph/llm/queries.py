@@ -98,7 +98,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], turns.schema)
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(both).alias("text"))
+    extra = extra.select(*(F.col(f.name).cast(f.dataType) for f in turns.schema))
     back = _chat.read_chat(_chat.format_chat(turns.unionByName(extra)))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
