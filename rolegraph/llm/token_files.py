@@ -10,8 +10,9 @@ uint16 (uint32 if the vocabulary needs it).  The index holds doc_id, offset of t
 of ids for each record, so that a reader can take records in any order.
 
 Shards are ranges of doc_id in ascending order; rows of a shard are sorted by doc_id, equal ids by
-their token ids.  A task writes under a name of its own attempt and renames at the end, so a repeated
-task leaves one whole file.
+their token ids.  Ranges are as many as the texts' bytes ask for, and a range whose records outgrow
+SHARD_BYTES goes on in another shard.  A task writes under the name of its own attempt, and the shard
+table, which Spark commits, says which attempts count; so a repeated or speculative task harms nothing.
 
 Defined cases: a null text counts as empty and gives a record of the end id alone; a null doc_id
 comes first; repeated doc_ids are records of their own; an empty table gives no shard; other columns
@@ -28,16 +29,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import scratch_path, written
+from rolegraph.llm._spark import scratch_path, small_batches, written
 from rolegraph.llm._text import binary_list, text_slices
 from rolegraph.llm._tokens import PIECE, encoder, with_end
 
 INDEX_MAGIC, DATA_MAGIC = b"RGTIDX01", b"RGTREC01"
-#: Rows of a shard, about.
-SHARD_ROWS = 20_000
+#: Bytes of text in a range, and of records in a shard, about.
+RANGE_BYTES = SHARD_BYTES = 128 << 20
 READ_BYTES = 8 << 20
 
 
@@ -80,19 +81,36 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def _write(uri: str, width: int):
+def _write(uri: str, width: int, most: int):
+    names = ["shard", "file", "records", "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(uri)
         attempt = TaskContext.get().taskAttemptId()
-        out = own = shard = None
-        keys, places, sizes, at = [], [], [], 0
+        out, shard, keys, places, sizes, at = None, 0, [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal out
+            out.close()
+            out = None
+            name = f"shard-{shard:012d}-{attempt}"
+            own = pa.concat_arrays(keys)
+            with fs.open_output_stream(f"{top}/{name}.idx") as f:
+                f.write(INDEX_MAGIC + struct.pack("<Q", len(own)))
+                for x in (own.is_valid().cast(pa.int64()).to_numpy(), own.fill_null(0).to_numpy(), np.array(places, dtype=np.int64), np.array(sizes, dtype=np.int64)):
+                    f.write(np.ascontiguousarray(x, dtype="<i8").tobytes())
+            done = pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{uri}/{name}"]), pa.array([len(own)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=names)
+            for x in (keys, places, sizes):
+                x.clear()
+            return done
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if shard >> 20 != batch.column(1)[0].as_py():
+                shard = batch.column(1)[0].as_py() << 20
             if out is None:
-                shard = batch.column(1)[0].as_py()
-                own = f"{top}/shard-{shard:06d}"
-                out = fs.open_output_stream(f"{own}.bin.{attempt}")
+                out = fs.open_output_stream(f"{top}/shard-{shard:012d}-{attempt}.bin")
                 out.write(DATA_MAGIC + struct.pack("<Q", width))
                 at = 16
             frames = []
@@ -103,17 +121,11 @@ def _write(uri: str, width: int):
                 at += len(payload) + 16
             out.write(b"".join(frames))
             keys.append(batch.column(0))
-        if out is None:
-            return
-        out.close()
-        keys = pa.concat_arrays(keys)
-        with fs.open_output_stream(f"{own}.idx.{attempt}") as f:
-            f.write(INDEX_MAGIC + struct.pack("<Q", len(keys)))
-            for x in (keys.is_valid().cast(pa.int64()).to_numpy(), keys.fill_null(0).to_numpy(), np.array(places, dtype=np.int64), np.array(sizes, dtype=np.int64)):
-                f.write(np.ascontiguousarray(x, dtype="<i8").tobytes())
-        for kind in ("bin", "idx"):
-            fs.move(f"{own}.{kind}.{attempt}", f"{own}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{uri}/shard-{shard:06d}"]), pa.array([len(keys)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["shard", "file", "records", "ids"])
+            if at >= most:
+                yield close()
+                shard += 1
+        if out is not None:
+            yield close()
 
     return run
 
@@ -122,16 +134,17 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 2
     """Write docs' ids as shards under uri; returns (shard, file, records, ids), a row for each shard."""
     spark = docs.sparkSession
     width = np.dtype(encoder(tokenizer).dtype).itemsize
+    small_batches(spark)
     ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shards = max(1, -(-ids.count() // SHARD_ROWS))
+    ranges = max(1, -(-(ids.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     bounds: list[int] = []
-    if shards > 1:  # quantiles of the key alone: the texts aren't read for them
-        bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards)})
+    if ranges > 1:  # quantiles of the key alone: the texts aren't read for them
+        bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)})
     fs, top = _open(uri)
     fs.create_dir(top, recursive=True)
     coded = ids.mapInArrow(_encode(tokenizer, end_id, bounds), "doc_id long, shard int, ids binary")
     placed = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
-    return written(placed.mapInArrow(_write(uri, width), "shard int, file string, records long, ids long"), "token-shards")
+    return written(placed.mapInArrow(_write(uri, width, SHARD_BYTES), "shard long, file string, records long, ids long"), "token-shards")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,15 +180,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
     """Read shards back by their indexes, checking every frame: doc_id, start, n_tokens, ids_crc32."""
-    rows = shards.orderBy("shard").collect()  # one row for SHARD_ROWS documents
-    base, table = 0, []
-    for r in rows:
-        table.append((r.file, base))
-        base += r.ids
-    if not table:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    each = spark.createDataFrame(table, "file string, base long").repartition(len(table))
-    return each.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for SHARD_BYTES of records
+    each = shards.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    return each.repartition(max(1, shards.count())).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -40,8 +40,10 @@ def test_cache_starts_afresh(reference, monkeypatch):
         assert e.encode_text(text) == reference(text)
 
 
-def test_files_round_trip(docs, no_docs, reference, monkeypatch):
-    monkeypatch.setattr(token_files, "SHARD_ROWS", 9)
+@pytest.mark.parametrize("range_bytes, shard_bytes", [(60_000, 9_000), (1 << 20, 1 << 20), (1_000, 1 << 20)])
+def test_files_round_trip(docs, no_docs, reference, monkeypatch, range_bytes, shard_bytes):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", shard_bytes)
     got = [tuple(r) for r in token_files.token_round_trip(docs, PATH, 2).collect()]
     rows = sorted(((r.doc_id, reference(r.text) + [2]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     want, at = [], 0
@@ -84,6 +86,15 @@ def test_packing_keeps_every_id(docs, no_docs, reference):
     assert packing.pack(no_docs, PATH, 1).count() == 0
 
 
+def test_padding_is_little(spark):
+    from .conftest import prose
+
+    docs = spark.createDataFrame([(i, prose(i, 20 + 37 * i % 900)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    sizes = [r.n for r in packing.pack(docs, PATH, 1).groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
+    padded = sum(n if n & (n - 1) == 0 else 2048 for n in sizes)
+    assert padded <= 1.02 * sum(sizes)
+
+
 def test_cuts_are_the_best():
     rng = np.random.default_rng(3)
     for _ in range(30):
