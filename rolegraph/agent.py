@@ -40,7 +40,7 @@ def strip_fences(text: str) -> str:
 
 
 def agent_prompt(graph, question: str, writes: bool = False) -> str:
-    return f"{GUIDE}\n{WRITES if writes else ''}\n{graph.catalog.render(graph.populated() or None)}\n\n{question}"
+    return f"{GUIDE}\n{WRITES if writes else ''}\n{graph.catalog.listing(graph.populated() or None)}\n\n{question}"
 
 
 def repair_prompt(graph, question: str, program: str, error: str, writes: bool = False) -> str:

@@ -30,6 +30,15 @@ def limits(max_rows: int | None = MAX_ROWS, seconds: float | None = SECONDS) ->
         _limits.reset(token)
 
 
+def current() -> tuple[int | None, float | None]:
+    """The rows and seconds in force."""
+    return _limits.get()
+
+
+def too_many(most: int) -> LimitProblem:
+    return LimitProblem(f"the read has more than {most} rows; narrow it with where, keep or limit")
+
+
 def guarded(spark: SparkSession, df: DataFrame, action: Callable[[DataFrame], list]) -> list:
     """Run an action that returns rows under the limits in force."""
     most, seconds = _limits.get()
@@ -57,5 +66,5 @@ def guarded(spark: SparkSession, df: DataFrame, action: Callable[[DataFrame], li
             timer.cancel()
         spark.removeTag(tag)
     if most is not None and len(out) > most:
-        raise LimitProblem(f"the read has more than {most} rows; narrow it with where, keep or limit")
+        raise too_many(most)
     return out

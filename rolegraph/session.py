@@ -84,7 +84,7 @@ class Session:
         for s in stmts:
             try:
                 if isinstance(s, T.ShowSchema):
-                    out.append(self.graph.catalog.render(self.graph.populated()))
+                    out.append(self.graph.catalog.listing(self.graph.populated()))
                 elif isinstance(s, T.Continue):
                     out.append(self._continue(s))
                 elif isinstance(s, T.Return):
@@ -137,7 +137,7 @@ class Session:
         if rest:
             handle = f"@c{secrets.token_hex(3)}"
             self.handles[handle] = _Rest(rest, header, before + len(blocks) - len(rest), total)
-            text += f"\ntruncated: {len(rest)} more. resume with: continue {handle}"
+            text += f"\n{len(rest)} left out; for those: continue {handle}"
         return text
 
     def _continue(self, s: T.Continue) -> str:

@@ -119,7 +119,7 @@ def test_compute(graph):
 def test_text(graph):
     s = Session(graph)
     text = s.run("find player as p\nreturn p.name, p.age order by p.name budget 18 tokens")
-    assert text.startswith("results: 1 of 6, budget hit\ncolumns: p.name, p.age\nInes, 34.5\ntruncated: 5 more.")
+    assert text.startswith("results: 1 of 6, budget hit\ncolumns: p.name, p.age\nInes, 34.5\n5 left out")
     handle = text.rpartition(" ")[2]
     assert s.run(f"continue {handle}").startswith("results: 6 of 6, complete")
     assert "unknown or used up" in s.run(f"continue {handle}")
@@ -127,7 +127,7 @@ def test_text(graph):
     assert block == 'results: 0 of 0, complete\ncolumns: o' or 'orchestra "Nordlys"' in block
     block = s.run('find orchestra where country = FI as o\nreturn o')
     assert 'orchestra "Harmonia" {country: FI, founded: 1988}' in block and '  seat <- player "jose"' in block
-    assert "limit" not in s.run("schema") and "seat(who: player, place: orchestra) via{start, stop}" in s.run("schema")
+    assert "limit" not in s.run("schema") and "edge seat: who player - place orchestra | start:" in s.run("schema")
     assert "read-only" in s.run('assert player {name: "x"} as p')
 
 
