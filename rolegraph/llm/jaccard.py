@@ -170,11 +170,15 @@ def _prefixes(naming: Naming, levels, bits=None):
 
 
 def _sets(naming: Naming):
+    """(class, set), once for each class of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
                 sets, begin, own = naming.sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(own), binary_list(sets, begin)], names=["class", "set"])
+                fresh = pa.array([c not in seen and (seen.add(c) or True) for c in own.tolist()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(own), binary_list(sets, begin)], names=["class", "set"]).filter(fresh)
 
     return run
 
@@ -335,10 +339,13 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     members = written(members.select("class", "n", "group", part(F.col("place")).alias("part"), part(F.lit(0).cast("long")).alias("first")), "jaccard-members")
     release(spark, some, popular, grouped, large)
 
-    # the matrix and its cells
-    matrix = entries.join(members.select("class", "part"), "class").groupBy("shingle", "part").agg(F.max(F.col("n") - F.col("place")).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
+    # the matrix, of the shingles that several parts hold, and its cells
+    placed = entries.join(_if_small(members.select("class", "part")), "class")
+    across = placed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("shingle")
+    across = written(across, "jaccard-across")
+    matrix = placed.join(_if_small(across), "shingle", "left_semi").groupBy("shingle", "part").agg(F.max(F.col("n") - F.col("place")).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = written(matrix, "jaccard-matrix")
-    release(spark, entries)
+    release(spark, entries, across)
     a, b = (matrix.select("shingle", *(F.col(x).alias(f"{x}_{s}") for x in ("part", "room", "low", "high"))) for s in "ab")
     fit = f"part_a < part_b and least(room_a, room_b) * {PER + TIMES} >= (low_a + low_b) * {TIMES} and high_a * {PER} >= low_b * {TIMES} and high_b * {PER} >= low_a * {TIMES}"
     cells = written(a.join(b, "shingle").where(fit).select("part_a", "part_b").distinct(), "jaccard-cells")
@@ -349,11 +356,11 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     # sets of the classes that some part or cell compares, each from one of its documents
     wanted = members.join(parts.select("part"), "part", "left_semi").select("class")
     ids = written(classes.join(wanted, "class", "left_semi").select("doc_id"), "jaccard-wanted")
-    sets = written(keep_ids(rows, ids, "left_semi").mapInArrow(_sets(naming), "class long, set binary").dropDuplicates(["class"]), "jaccard-sets")
+    sets = written(keep_ids(rows, ids, "left_semi").mapInArrow(_sets(naming), "class long, set binary"), "jaccard-sets")
     sizes = members.select("class", "n")
 
-    def opened(asks: DataFrame, own: bool, told: DataFrame) -> DataFrame:
-        """Links from opening parts: asks is a written table (class, part); own: members ask their own part too; told: members with their labels."""
+    def opened(asks: DataFrame, own: bool, told: DataFrame | None = None) -> DataFrame:
+        """Links from opening parts: asks is a written table (class, part); own: members ask their own part too; told: members with the labels they have."""
         many = asks.join(sizes, "class").groupBy("part").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > PART_TOKENS)
         many = _if_small(written(many.select("part", F.ceil(F.col("tokens") / PART_TOKENS).cast("int").alias("salts")), "jaccard-salts"))
         open_ = parts.where("size > 1").select("part").union(asks.select("part")).distinct() if own else asks.select("part").distinct()
@@ -361,11 +368,16 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         held = members.select("class", "part").join(open_, "part", "left_semi").join(many, "part", "left").select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "class")
         held = held.select("part", "salt", F.lit(0).alias("kind"), (F.lit(own) & (F.col("salt") == 0)).alias("own"), "class")
         asking = asks.join(many, "part", "left").select("part", F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(False).alias("own"), "class")
-        full = held.union(asking).join(sets.join(told.select("class", "label"), "class"), "class").select("part", "salt", "kind", "own", "class", "label", "set")
-        return written(full.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_open, "a long, b long"), "jaccard-links")
+        lines = held.union(asking)
+        lines = lines.withColumn("label", F.col("class")) if told is None else lines.join(_if_small(told.select("class", "label")), "class")
+        lines = written(lines, "jaccard-lines")  # narrow, so that sets move once
+        full = sets.join(_if_small(lines), "class").select("part", "salt", "kind", "own", "class", "label", "set")
+        out = written(full.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_open, "a long, b long"), "jaccard-links")
+        release(spark, lines)
+        return out
 
     asks = written(members.where("part <> first").select("class", F.col("first").alias("part")), "jaccard-asks")
-    links = opened(asks, True, members.withColumn("label", F.col("class")))
+    links = opened(asks, True)
     components = connected_components(links, "jaccard-components")
     release(spark, asks)
     told = members.select("class", "part").join(components.withColumnRenamed("node", "class"), "class", "left").select("class", "part", F.coalesce("component", "class").alias("label"))
