@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (a single machine)."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="rolegraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -17,7 +17,8 @@ class Relations:
     """Classes with a whole-number or string key each; a derived class shares its base's key space.
 
     Node ids are LONG: a class family's ordinal in the upper bits with a whole-number key below, or a
-    64-bit hash of the family and a string key.
+    64-bit hash of the family and a string key.  Whole-number keys that need more than KEY_BITS or are
+    negative get a negative hash, so they never run into another family's ids.
     """
 
     KEY_BITS = 48
@@ -36,7 +37,11 @@ class Relations:
     def nid(self, cls: str, key: Column, kind: str) -> Column:
         if kind == "string":
             return F.xxhash64(F.lit(self._root(cls)), key)
-        return F.lit(self._root(cls) << self.KEY_BITS).cast("long") + key.cast("long")
+        whole, root = key.cast("long"), F.lit(self._root(cls) << self.KEY_BITS).cast("long")
+        plain = root + whole
+        if kind in ("tinyint", "smallint"):  # narrow keys can only be negative
+            return F.when(whole >= 0, plain).otherwise(F.xxhash64(root, whole).bitwiseOR(F.lit(-1 << 63)))
+        return F.when((whole >= 0) & (whole < 1 << self.KEY_BITS), plain).otherwise(F.xxhash64(root, whole).bitwiseOR(F.lit(-1 << 63)))
 
     def add_class(self, name: str, df: DataFrame, key: str, props: dict[str, Column | str] | None = None, base: str | None = None) -> None:
         """Register df's rows as nodes; props maps property names to columns (all but the key, if not given)."""
