@@ -11,40 +11,41 @@ from rolegraph.operators.scratch import stored
 
 #: Up to this many steps the walk is one lazy plan, without a job of its own.
 UNROLL = 4
+#: Tables of reached pairs that the next round's anti-joins read at most.
+MERGE = 12
 
 
 def reach(sources: DataFrame, edges: DataFrame, depart: str, arrive: str, steps: int | None) -> DataFrame:
     """(src, node): for each distinct source in the one column of `sources`, every node it reaches.
 
-    A start is reached only through a cycle.  Each round walks from what the last one found new, so a
-    cycle ends; beyond UNROLL steps, rounds are written, which keeps the plan short.
+    A start is reached only through a cycle.  Each round is one hop from what the last one found new,
+    written as a table, so a cycle ends, no hop is computed twice and plans stay short.  Edges are
+    never made distinct: pairs are, once a hop.
     """
-    hops = edges.select(F.col(depart).alias("__d"), F.col(arrive).alias("node")).distinct()
+    hops = edges.select(F.col(depart).alias("__d"), F.col(arrive).alias("node"))
     start = sources.select(F.col(sources.columns[0]).alias("src")).where("src is not null").distinct()
-    frontier = start.join(hops, F.col("src") == F.col("__d")).select("src", "node")
+
+    def hop(front: DataFrame) -> DataFrame:
+        return front.select("src", F.col("node").alias("__at")).join(hops, F.col("__at") == F.col("__d")).select("src", "node")
+
+    front = start.withColumn("node", F.col("src"))
     if steps is not None and steps <= UNROLL:
-        levels = [frontier]
+        levels = [hop(front)]
         for _ in range(steps - 1):
-            levels.append(levels[-1].select("src", F.col("node").alias("__at")).join(hops, F.col("__at") == F.col("__d")).select("src", "node").distinct())
+            levels.append(hop(levels[-1].distinct()))
         return reduce(DataFrame.union, levels).distinct()
     hops = stored(hops, "hops")
     seen: list[DataFrame] = []
-    front, left = start.select("src", F.col("src").alias("at")), steps
+    left = steps
     while left is None or left > 0:
-        # several hops a round; what the last of them reaches first is where the next round begins
-        deep = UNROLL if left is None else min(UNROLL, left)
-        levels = [front.join(hops, F.col("at") == F.col("__d")).select("src", "node")]
-        for _ in range(deep - 1):
-            levels.append(levels[-1].distinct().select("src", F.col("node").alias("at")).join(hops, F.col("at") == F.col("__d")).select("src", "node"))
-        found = reduce(DataFrame.union, [x.withColumn("level", F.lit(i + 1)) for i, x in enumerate(levels)]).groupBy("src", "node").agg(F.min("level").alias("level"))
+        found = hop(front).distinct()
         if seen:
-            found = found.join(reduce(DataFrame.union, seen).select("src", "node"), ["src", "node"], "left_anti")
-        new = stored(found, "reach")
-        seen.append(new)
-        edge = new.where(F.col("level") == deep)
-        if edge.isEmpty():
+            found = found.join(reduce(DataFrame.union, seen), ["src", "node"], "left_anti")
+        front = stored(found, "reach")
+        if front.isEmpty():
             break
-        front, left = edge.select("src", F.col("node").alias("at")), None if left is None else left - deep
-        if len(seen) > 16:  # the anti-join reads few tables
+        seen.append(front)
+        left = None if left is None else left - 1
+        if len(seen) > MERGE:  # the anti-joins read few tables
             seen = [stored(reduce(DataFrame.union, seen), "reach")]
-    return reduce(DataFrame.union, seen).select("src", "node")
+    return reduce(DataFrame.union, seen, front)

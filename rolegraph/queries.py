@@ -125,12 +125,12 @@ def _program(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from rolegraph import more_queries
+    from rolegraph import more_queries, store_queries
 
-    return {name: _program(name) for name in PROGRAMS} | more_queries.queries()
+    return {name: _program(name) for name in PROGRAMS} | more_queries.queries() | store_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from rolegraph import more_queries
+    from rolegraph import more_queries, store_queries
 
-    return {name: entry[1] for name, entry in PROGRAMS.items()} | more_queries.oracle_sql()
+    return {name: entry[1] for name, entry in PROGRAMS.items()} | more_queries.oracle_sql() | store_queries.oracle_sql()
