@@ -48,6 +48,34 @@ def _repl(session) -> int:
     return 0
 
 
+def _playbook(session, args) -> int:
+    """Compile a book; what it would change is shown first."""
+    from rolegraph.ingest.playbook import compile_book
+    from rolegraph.ingest.runners import runner
+
+    if (args.book is None) == (args.runner is None):
+        raise ProgramError("name a book or a runner that writes one")
+    if args.book is not None:
+        with open(args.book, encoding="utf-8") as f:
+            text = f.read()
+    ask = runner(args.runner) if args.runner else None
+
+    def write(error: str | None) -> str:
+        if ask is None:
+            if error:
+                raise ProgramError(error)
+            return text
+        prompt = "Write a schema book with the blocks schema, aliases and examples for this graph:\n" + session.graph.catalog.listing()
+        return ask(prompt + (f"\nThe last try failed: {error}" if error else ""))
+
+    def confirm(plan) -> bool:
+        print(plan)
+        return args.yes or input("apply? [y/N] ").strip().lower() in ("y", "yes")
+
+    print("applied" if compile_book(session, write, confirm) else "left as it was")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="rolegraph")
     sub = top.add_subparsers(dest="verb", required=True)
@@ -65,6 +93,18 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("path")
             p.add_argument("edge")
             p.add_argument("roles", nargs=2, help="role=column")
+    p = sub.add_parser("extract", help="facts out of a staged document's chunks")
+    p.add_argument("--db", required=True)
+    p.add_argument("document", help="the document's node id")
+    p.add_argument("--runner", required=True, help="what answers prompts, as in command:PROGRAM")
+    p = sub.add_parser("playbook", help="apply a schema book, from a file or written by a runner")
+    p.add_argument("--db", required=True)
+    p.add_argument("book", nargs="?")
+    p.add_argument("--runner")
+    p.add_argument("--yes", action="store_true", help="apply without asking")
+    p = sub.add_parser("replay", help="hold recorded results against the store")
+    p.add_argument("--db", required=True)
+    p.add_argument("path")
     p = sub.add_parser("canonical")
     p.add_argument("program")
     args = top.parse_args(argv)
@@ -74,7 +114,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         from rolegraph.session import Session
 
-        with _store(args, lock=args.verb != "stats") as store:
+        with _store(args, lock=args.verb not in ("stats", "replay")) as store:
             if args.verb == "run":
                 print(Session(store).execute(sys.stdin.read() if args.program == "-" else args.program))
             elif args.verb == "repl":
@@ -86,6 +126,20 @@ def main(argv: list[str] | None = None) -> int:
 
                 for file, doc, notes in stage_all(store, args.path):
                     print(file, doc or "skipped", *notes, sep="\t")
+            elif args.verb == "extract":
+                from rolegraph.ingest.extract import extract
+                from rolegraph.ingest.runners import runner
+
+                done = extract(Session(store), args.document, runner(args.runner))
+                print(f"{done.done} chunks done, {len(done.failed)} failed, {done.spent} tokens" + (", stopped at the budget" if done.stopped else ""))
+            elif args.verb == "playbook":
+                return _playbook(Session(store), args)
+            elif args.verb == "replay":
+                from rolegraph.audit import replay
+
+                r = replay(Session(store), args.path)
+                print(f"{r.right} right, {len(r.wrong)} wrong, {len(r.failed)} failed", *r.wrong, sep="\n")
+                return int(bool(r.wrong or r.failed))
             elif args.verb == "load-nodes":
                 from rolegraph.sources.bulk import load_nodes
 

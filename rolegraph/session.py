@@ -125,7 +125,7 @@ class Session:
             b = state.bound.get(n)
             if b is not None and b.kind == "node":
                 ids = state.df.select(F.col(n).alias("n"), F.col(f"{n}__id").alias("id")).where("id is not null").distinct().orderBy("n")
-                self.bound[n] = (b.cls, [r.id for r in ids.collect()])
+                self.bound[n] = (b.cls, guarded(self.graph.spark, ids, lambda d: [r.id for r in d.collect()]))
 
     def _text(self, stmts: list[T.Stmt], s: T.Return) -> str:
         compiler, state = self._state([*stmts, s])

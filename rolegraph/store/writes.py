@@ -35,6 +35,14 @@ class Receipt:
         return "; ".join(parts) + "".join(f"\n  {n}" for n in self.notes)
 
 
+def _alike(a: str | None, b: str | None) -> bool:
+    """Whether two values as text are one value: equal, or equal numbers."""
+    try:
+        return a is not None and b is not None and (fold(a) == fold(b) or float(a) == float(b))
+    except ValueError:
+        return False
+
+
 class Writer:
     def __init__(self, store: Store, bound: dict[str, tuple[str, list[str]]]):
         self.store, self.bound = store, bound
@@ -101,7 +109,7 @@ class Writer:
         with open(name, encoding="utf-8-sig", newline="") as f:
             return list(csv.DictReader(f))
 
-    def _similar(self, cls: str, nid: int, name: str | None) -> tuple[list[dict], list[str]]:
+    def _similar(self, cls: str, nid: int, name: str | None, given: dict[str, str] | None = None) -> tuple[list[dict], list[str]]:
         """Candidates for a new node's duplicates in its block, as records and notes."""
         key = name_key(name or "")
         df = self.store.nodes(cls)
@@ -109,17 +117,21 @@ class Writer:
             return [], []
         least = self.store.catalog.classes[cls].dedup or THRESHOLD
         size = F.length("key")
-        near = df.where(F.col("nid") != nid).select("nid", "id", "name", name_keyed(F.col("name")).alias("key")).where(F.substring("key", 1, 4) == key[:4])
+        props = [p for p in self.store.catalog.props(cls) if p in df.columns and p != "name" and not self.store.catalog.is_multi(cls, p)]
+        held = F.to_json(F.struct(*(F.col(p).cast("string").alias(p) for p in props))) if props else F.lit("{}")
+        near = df.where(F.col("nid") != nid).select("nid", "id", "name", name_keyed(F.col("name")).alias("key"), held.alias("held")).where(F.substring("key", 1, 4) == key[:4])
         near = near.where((2.0 * F.least(size, F.lit(len(key))) / (size + len(key)) >= least) | F.startswith(F.col("key"), F.lit(key)) | F.startswith(F.lit(key), F.col("key")))
         if self.store._has("distinct"):
             apart = self.store.records().where("op = 'distinct'").where((F.col("a") == nid) | (F.col("b") == nid)).select(F.when(F.col("a") == nid, F.col("b")).otherwise(F.col("a")).alias("nid"))
             near = near.join(apart, "nid", "left_anti")
         out, notes = [], []
+        given = given or {}
         for r in near.toLocalIterator():
             score = similarity(key, r.key)
             if score >= least:
                 a, b = sorted((nid, r.nid))
-                out.append({"op": "dup", "a": a, "b": b, "cls": cls, "score": score, "evidence": f"names {key} and {r.key}"})
+                both = [f"{p} {v}" for p, v in json.loads(r.held).items() if p in given and _alike(given[p], v)]
+                out.append({"op": "dup", "a": a, "b": b, "cls": cls, "score": score, "evidence": f"names {key} and {r.key}" + (f"; both have {', '.join(both)}" if both else "")})
                 notes.append(f"may repeat {r.id} ({score:.2f}): merge or declare distinct")
         return out, notes
 
@@ -132,7 +144,7 @@ class Writer:
         records = [{"op": "node", "nid": nid, "id": node_id, "cls": s.cls, "props": {k: text_of(v) for k, v in props.items()}, "state": "blob" if rows is not None else "atom", "source": s.source}]
         if rows is not None:
             records.append({"op": "rows", "nid": nid, "payload": json.dumps(rows, ensure_ascii=False)})
-        more, notes = self._similar(s.cls, nid, props.get("name"))
+        more, notes = self._similar(s.cls, nid, props.get("name"), {k: text_of(v) for k, v in props.items()})
         position = self.store.commit(records + more)
         self._bind(s.name, s.cls, [node_id])
         return Receipt("assert", [node_id], [], ([guard] if guard else []) + notes, position)
