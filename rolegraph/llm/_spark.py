@@ -100,16 +100,23 @@ def drawn(key: str, take: int, of: int) -> Column:
     return F.xxhash64(F.col(key).cast("string")) < F.lit((take << 64) // of - (1 << 63)).cast("long")
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", text: str | None = None) -> DataFrame:
     """Rows of docs with (left_semi) or without (left_anti) their key in ids; null equals null.
 
-    ids is a written table of one column.  It is broadcast only if it is small by count; else Spark
-    joins by shuffle, skewed keys split by adaptive execution.
+    ids is a written table of one column, or of two, the second row_mark() of the text: then a row is
+    meant by its key and its text, so rows that share a key have a fate each.  ids is broadcast only
+    if it is small by count; else Spark joins by shuffle, skewed keys split by adaptive execution.
     """
-    side = ids.select(F.col(ids.columns[0]).alias("__id"))
+    side = ids.select(*(F.col(c).alias(f"__{n}") for c, n in zip(ids.columns, ("id", "mark"))))
     if small_enough(ids):
         side = F.broadcast(side)
-    return docs.join(side, docs[key].eqNullSafe(side["__id"]), how)
+    on = docs[key].eqNullSafe(side["__id"])
+    return docs.join(side, on if text is None else on & (row_mark(docs[text]) == side["__mark"]), how)
+
+
+def row_mark(text: Column) -> Column:
+    """A 64-bit mark of a text, null being empty, that tells rows of one key apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._bloom import bloom, probe
-from rolegraph.llm._spark import keep_ids, small_batches, small_enough, written
+from rolegraph.llm._spark import keep_ids, row_mark, small_batches, small_enough, written
 from rolegraph.llm._text import Words, int64, mix64, stream, text_slices
 
 MASKS = ("11111", "1110011", "1101011")
@@ -150,7 +150,8 @@ def _ids(lays: DataFrame) -> DataFrame:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    bad = written(contaminated(docs, benchmark, key=key, **options).select("doc_id").distinct(), "bench-found")
-    return keep_ids(docs, bad, "left_anti", key)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns; every row by its own text, whatever its key."""
+    marked = docs.withColumn("__mark", row_mark(F.col(text)))
+    bad = written(contaminated(marked, benchmark, text=text, **options | {"key": "__mark"}).select("doc_id").distinct(), "bench-found")
+    return keep_ids(marked, bad, "left_anti", "__mark").drop("__mark")

@@ -172,6 +172,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    gone = written(exact_dedup(docs, text, key).where("not kept").select("doc_id"), "dedup-gone")
-    return keep_ids(docs, gone, "left_anti", key)
+    """The rows of docs that exact_dedup keeps, with all their columns; rows of one key have a fate each, by their texts."""
+    found = exact_dedup(docs, text, key).where("not kept").select("doc_id", F.xxhash64("text_sha256").alias("mark"))
+    gone = written(found.distinct(), "dedup-gone")
+    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    side = gone.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    if small_enough(gone):
+        side = F.broadcast(side)
+    return marked.join(side, marked[key].cast("long").eqNullSafe(side["__id"]) & (F.xxhash64(marked["__sha"]) == side["__mark"]), "left_anti").drop("__sha")

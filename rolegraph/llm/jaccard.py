@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._bloom import bloom, probe
-from rolegraph.llm._spark import connected_components, keep_ids, release, small_batches, small_enough, written
+from rolegraph.llm._spark import connected_components, keep_ids, release, row_mark, small_batches, small_enough, written
 from rolegraph.llm._text import Words, binary_list, distinct_per_doc, int64, mix64, shingles, stream, text_slices
 
 WIDTH = 5
@@ -96,7 +96,7 @@ class Naming:
 
 def _profile(width: int, bits: int):
     """A row per document (size, both names of its class, minimum hashes), and the task's part of the sketch."""
-    names = ["kind", "doc_id", "n", "one", "two", "keys", "at", "counts"]
+    names = ["kind", "doc_id", "mark", "n", "one", "two", "keys", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(COUNTERS, dtype=np.int32), [], 0
@@ -123,12 +123,12 @@ def _profile(width: int, bits: int):
                 if size > COUNTERS >> 3:
                     add()
                 one, two = class_ids(sets, begin, bits)
-                columns = [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(int64(one)), pa.array(int64(two))]
+                columns = [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(int64(one)), pa.array(int64(two))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * (b - a) + 1, KEYS, dtype=np.int32)), pa.array(int64(keys.ravel()))), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
         add()
         some = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1))
         packed = [zlib.compress(np.minimum(counts[c * CHUNK : (c + 1) * CHUNK], 255).astype(np.uint8).tobytes(), 1) for c in some]
-        none = [pa.nulls(len(some), pa.int64())] * 4
+        none = [pa.nulls(len(some), pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), *none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
@@ -293,11 +293,12 @@ def _if_small(side: DataFrame, row_bytes: int = 64) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, name_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) for every document, and (class, docs, doc_id, component) for every class: component is null where no other class is linked."""
+    """(doc_id, mark, n, class) for every document, mark being row_mark() of its text, and (class, docs, doc_id, component) for every class: component is null where no other class is linked."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(rows.mapInArrow(_profile(width, name_bits), "kind int, doc_id long, n long, one long, two long, keys array<long>, at int, counts binary"), "jaccard-profile")
+    marked = rows.select("doc_id", "text", row_mark(F.col("text")).alias("mark"))
+    profile = written(marked.mapInArrow(_profile(width, name_bits), "kind int, doc_id long, mark long, n long, one long, two long, keys array<long>, at int, counts binary"), "jaccard-profile")
     of_docs = profile.where("kind = 0")
     levels = np.zeros(COUNTERS, dtype=np.uint8)
     for r in profile.where("kind = 1").select("at", "counts").groupBy("at").applyInArrow(_levels, "at int, levels binary").collect():  # COUNTERS bytes in all
@@ -405,25 +406,34 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     release(spark, asks, told, state, links, cells, parts, ids, sets, members)
     out = written(classes.select("class", "docs", "doc_id").join(_if_small(components.withColumnRenamed("node", "class")), "class", "left"), "jaccard-linked")
     release(spark, components, classes)
-    return named.select("doc_id", "n", "class"), out
+    return named.select("doc_id", "mark", "n", "class"), out
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, name_bits: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per document."""
-    spark = docs.sparkSession
+def marked_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, name_bits: int = 64) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id): one row per document, mark being row_mark() of its text."""
     of_docs, classes = similar_classes(docs, text, key, width, name_bits)
     # minima over classes, not over documents; then only classes with company need a lookup
     least = classes.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     several = classes.where("docs > 1 and component is null").select("class", F.col("doc_id").alias("component_id"))
     several = several.union(classes.join(_if_small(written(least, "jaccard-least")), "component").select("class", "component_id"))
     several = written(several, "jaccard-several")
-    release(spark, classes)
+    release(docs.sparkSession, classes)
     side = _if_small(several.select("class", "component_id", F.lit(True).alias("found")))
     out = of_docs.join(side, (of_docs["class"] == side["class"]) & (of_docs["n"] > 0), "left")
-    return out.select(of_docs["doc_id"], F.col("n").alias("n_shingles"), F.when(F.col("found"), F.col("component_id")).otherwise(of_docs["doc_id"]).alias("component_id"))
+    return out.select(of_docs["doc_id"], "mark", F.col("n").alias("n_shingles"), F.when(F.col("found"), F.col("component_id")).otherwise(of_docs["doc_id"]).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, name_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per document."""
+    return marked_components(docs, text, key, width, name_bits).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """The rows of docs without those linked to a document with a smaller doc_id: one of each component stays."""
-    gone = written(jaccard_components(docs, text, key, width).where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct(), "jaccard-gone")
-    return keep_ids(docs, gone, "left_anti", key)
+    """The rows of docs without those linked to a document with a smaller doc_id: one of each component stays.
+
+    A null doc_id counts as greater than any other; rows that share the smallest doc_id, and rows of a
+    component that has no other doc_id than null, all stay.
+    """
+    found = marked_components(docs, text, key, width).where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = written(found.select("doc_id", "mark").distinct(), "jaccard-gone")
+    return keep_ids(docs, gone, "left_anti", key, text)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import drawn, small_batches, written
+from rolegraph.llm._spark import drawn, keep_ids, row_mark, small_batches, written
 from rolegraph.llm._text import Words, binary_list, distinct_per_doc, text_slices
 
 PER_LABEL = 3_000
@@ -232,7 +232,7 @@ def weights(factor: np.ndarray, place: np.ndarray, count: np.ndarray, begin: np.
 def curved(curve: tuple[float, float], votes: np.ndarray) -> np.ndarray:
     """The calibrated scores of votes."""
     v = votes.clip(1e-6, 1 - 1e-6)
-    return 1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(v / (1 - v)))))
+    return 1 / (1 + np.exp(-(curve[0] + curve[1] * np.log(v / (1 - v))).clip(-99, 99)))
 
 
 def fitted(votes: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[float, float]:
@@ -241,7 +241,7 @@ def fitted(votes: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[float, flo
     x = np.log(votes / (1 - votes))
     a, b = 0.0, 1.0
     for _ in range(50):  # Newton steps on the logistic likelihood, held near the identity
-        p = 1 / (1 + np.exp(-(a + b * x)))
+        p = 1 / (1 + np.exp(-(a + b * x).clip(-99, 99)))
         v, e = of * p * (1 - p), of * (y - p)
         g = np.array([e.sum() - a * 0.5, (e * x).sum() - (b - 1) * 0.5])
         h = np.array([[v.sum() + 0.5, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.5]])
@@ -287,19 +287,20 @@ def _own_votes(shared):
 
 
 def _scores(shared):
-    """(doc_id, score, evidence) of every text."""
+    """(what stands before the text, score, evidence) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            for a, _, data, offsets in text_slices(batch.column(1)):
+            for a, _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
                 for votes, some, text, example, cos in index.judged(data, offsets):
                     best = np.arange(len(text)) - np.searchsorted(text, np.arange(len(votes)))[text] < 3
                     text, example = text[best], example[best]
                     told = pa.StructArray.from_arrays([pa.array(index.ids[example]), pa.array(index.labels[example].astype(np.int32)), pa.array(cos[best])], fields=list(_EVIDENCE.value_type))
                     told = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(votes) + 1)).astype(np.int32)), told)
                     score = np.where(some, curved(index.curve, votes), index.share)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(votes)), pa.array(score), told], names=["doc_id", "score", "evidence"])
+                    names = [*batch.schema.names[:-1], "score", "evidence"]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, len(votes)) for c in batch.columns[:-1]), pa.array(score), told], names=names)
                     a += len(votes)
 
     return run
@@ -318,14 +319,17 @@ def build_index(ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, counts:
     return Index.of(vocabulary, idf * telling(toxic, other, int((apart & (labels == 1)).sum()), int((apart & (labels == 0)).sum())), ids, labels, share, place, counts, begin)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(doc_id, score, evidence array<struct<doc_id, label, cosine>>), a row for each row of docs.
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic", marks: bool = False) -> DataFrame:
+    """(doc_id, score, evidence array<struct<doc_id, label, cosine>>), a row for each row of docs; (doc_id, mark, ...) where `marks`, with row_mark() of the text.
 
     labels has the key and the label 0 or 1; `learn` says, by the key, which rows may be learned from.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
+    lead = ["doc_id", "mark"] if marks else ["doc_id"]
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), row_mark(F.col(text)).alias("mark"), F.lower(text).alias("text")).select(*lead, "text")
+    alike = named.select(*lead, F.lit(0.0).alias("score"), F.array().cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if learn is not None:
         known = known.where(learn)
@@ -333,7 +337,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
-        return rows.select("doc_id", F.lit(share).alias("score"), F.array().cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
+        return alike.withColumn("score", F.lit(share))
     known = known.where(F.when(F.col("label") == 1, drawn("doc_id", PER_LABEL, sizes[1])).otherwise(drawn("doc_id", PER_LABEL, sizes[0])))
     marked = rows.join(F.broadcast(written(known, "toxic-labels")), "doc_id").select("doc_id", "label", "text")  # about 2 * PER_LABEL labels
     found = marked.mapInArrow(_examples, "doc_id long, label int, terms binary, counts binary").toArrow()
@@ -349,9 +353,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     y = found["label"].to_numpy()
     index = build_index(found["doc_id"].to_numpy(), y.astype(np.float64), column("terms", np.uint64), column("counts", np.uint32), np.array([len(x) // 8 for x in found["terms"].to_pylist()], dtype=np.int64), share, document_frequencies)
     if not len(index.ids):
-        return rows.select("doc_id", F.lit(share).alias("score"), F.array().cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
+        return alike.withColumn("score", F.lit(share))
     own = marked.repartition(EXAMPLE_TASKS).mapInArrow(_own_votes(spark.sparkContext.broadcast(index)), "label int, vote double").toArrow()
     tried = own["label"].to_numpy()
     of = np.where(tried == 1, max(1, sizes[1] / PER_LABEL), max(1, sizes[0] / PER_LABEL))
     index.curve = fitted(own["vote"].to_numpy(), tried.astype(np.float64), of)
-    return rows.mapInArrow(_scores(spark.sparkContext.broadcast(index)), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+    return named.mapInArrow(_scores(spark.sparkContext.broadcast(index)), ", ".join(f"{c} long" for c in lead) + ", score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs whose score is below 0.5, with all their columns; every row by its own text, whatever its key."""
+    found = score_toxicity(docs, labels, learn, text, key, marks=True, **options).where("score >= 0.5")
+    return keep_ids(docs, written(found.select("doc_id", "mark").distinct(), "toxic-found"), "left_anti", key, text)

@@ -41,3 +41,48 @@ def test_every_stage_takes_effect(spark, tmp_path):
     pieces = C.run(spark, d)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == want
     assert pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").count() == 0
+
+
+def folder(spark, d, labels=((1, 0), (2, 1)), items=()):
+    spark.createDataFrame([(k, 0, y) for k, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def key(r):
+    return (r.doc_id is not None, r.doc_id or 0, r.text or "")
+
+
+def test_odd_rows_pass_every_stage(spark, docs, no_docs, tmp_path):
+    """Null and empty texts, null and repeated keys, repeated rows, ties, a very long text, columns that clash."""
+    d = folder(spark, tmp_path, [(k, int(k in (3, 5))) for k in range(40)], [(1, prose(110, 80)), (2, None), (3, "")])
+    rows = sorted(docs.collect(), key=key)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = sorted(out.collect(), key=key)
+        assert all(r in rows for r in got), name
+        assert len([r for r in got if r.doc_id == 110]) == 1, name  # the very long text
+        empty = stage(spark, no_docs, d)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    assert C.packing(spark, no_docs, d).count() == 0
+    pieces = C.packing(spark, docs, d).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in rows}
+    # equal texts: the largest doc_id; null text is empty text
+    kept = C.exact_dedup(spark, docs, d).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id in (100, 101, 111)) == [111, 111] and [r.doc_id for r in kept if not r.text] == [105]
+
+
+def test_rows_that_share_a_key_have_a_fate_each(spark, tmp_path):
+    bad = "vilegrob nastygrob "
+    train = [(i, prose(i, 40) + (bad if i % 4 == 0 else "")) for i in range(60)]
+    item, twin = prose(999, 30), prose(55, 90)
+    rows = train + [(None, prose(70, 40)), (None, bad * 3), (None, item), (None, twin), (500, twin + " more"), (600, prose(71, 40)), (600, item), (600, prose(72, 50)), (700, prose(72, 50)), (600, "unlike " + prose(73, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    d = folder(spark, tmp_path, [(i, int(i % 4 == 0)) for i in range(60)], [(1, item)])
+    left = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, docs, d).collect()), key=str)
+    assert left(C.toxicity) == sorted(((k, t) for k, t in rows if "vilegrob" not in t), key=str)
+    assert left(C.decontaminate) == sorted(((k, t) for k, t in rows if item not in t), key=str)
+    assert left(C.exact_dedup) == sorted(((k, t) for k, t in rows if (k, t) not in ((600, prose(72, 50)), (None, item))), key=str)
+    # near copies: 500 against null, and the equal texts of 600 and 700
+    assert left(C.near_dedup) == sorted(((k, t) for k, t in rows if (k, t) not in ((None, twin), (700, prose(72, 50)), (None, item))), key=str)
