@@ -23,7 +23,7 @@ from rolegraph.operators.reach import reach
 from rolegraph.sources.relations import SPARK_TYPES
 
 #: Rewrites that never change a result; tests switch them off.
-REWRITES = {"semi": True, "anti": True}
+REWRITES = {"semi": True, "anti": True, "once": True}
 
 
 @dataclass
@@ -347,6 +347,28 @@ class Compiler:
         value = F.avg("__x") if a.verb == "avg" else F.coalesce(F.sum("__x"), F.lit(0).cast(SPARK_TYPES[kind]))
         return out.agg(value.alias(a.name)), "float" if a.verb == "avg" else kind
 
+    def in_two_steps(self, state: State, a: T.Aggregate, path: T.Path, root: str) -> tuple[list[Column], Column, str] | None:
+        """An aggregate over rows as one over rows of each node of `root` and then one over those nodes; None where it isn't one."""
+        col, kind, _ = self.column(state, path)
+        x, y = f"__x_{a.name}", f"__y_{a.name}"
+        zero = F.lit(0).cast(SPARK_TYPES[kind]) if kind in SPARK_TYPES else F.lit(0)
+        if a.verb in ("min", "max"):
+            f = F.min if a.verb == "min" else F.max
+            return [f(col).alias(x)], f(x), kind
+        if a.distinct:
+            if path[0] != root or state.bound[root].kind != "node":
+                return None
+            if a.verb == "count":
+                return [F.max(col.isNotNull() & F.col(root).isNotNull()).alias(x)], F.count(F.when(F.col(x), 1)), "int"
+            if len(path) == 1:
+                return None
+            return [F.any_value(col).alias(x)], F.avg(x) if a.verb == "avg" else F.coalesce(F.sum(x), zero), "float" if a.verb == "avg" else kind
+        if a.verb == "count":
+            return [F.count(col).alias(x)], F.coalesce(F.sum(x), F.lit(0)), "int"
+        if a.verb == "sum":
+            return [F.sum(col).alias(x)], F.coalesce(F.sum(x), zero), kind
+        return [F.sum(col).alias(x), F.count(col).alias(y)], F.sum(x).cast("double") / F.when(F.sum(y) > 0, F.sum(y)), "float"
+
     def overall(self, state: State, run: list[T.Aggregate]) -> State:
         """Neighbouring aggregates over all rows: one row."""
         plain, frames, bound = [], [], {}
@@ -375,7 +397,10 @@ class Compiler:
         wanted = [s for s in rest if isinstance(s, T.Aggregate) and s.path[0] == g.name]
         keys = [key_col.alias("__k0")]
         plain, extra, made = [], [], {}
-        for a in wanted:
+        roots = {a.path[1] for a in wanted if a.distinct and a.verb in ("sum", "avg") and len(a.path) > 2 and state.bound[a.path[1]].kind == "node"}
+        steps = [self.in_two_steps(state, a, a.path[1:], next(iter(roots))) for a in wanted] if len(roots) == 1 and REWRITES["once"] else [None]
+        once = next(iter(roots)) if all(x is not None for x in steps) else None  # the node that sums and averages count once
+        for a in wanted if once is None else ():
             path = a.path[1:]
             col, kind = self.measure(state, a.verb, path, a.distinct)
             if col is None:
@@ -394,7 +419,13 @@ class Compiler:
                         carried.append(F.any_value(c).alias(c))
                     else:
                         carried.append(F.min_by(c, order).alias(c))
-        df = state.df.groupBy(*keys).agg(*plain, F.min(order).alias("__first"), *carried)
+        if once is None:
+            df = state.df.groupBy(*keys).agg(*plain, F.min(order).alias("__first"), *carried)
+        else:
+            names = [c for n in state.bound for c in state.df.columns if (c == n or c.startswith(f"{n}__")) and n not in {a.name for a in wanted}]
+            rows = state.df.groupBy(*keys, F.col(once).alias("__once")).agg(*(c for x, _, _ in steps for c in x), F.min(order).alias("__first"), *(F.min_by(c, order).alias(c) for c in names))
+            df = rows.groupBy("__k0").agg(*(y.alias(a.name) for a, (_, y, _) in zip(wanted, steps)), F.min("__first").alias("__f"), *(F.min_by(c, "__first").alias(c) for c in names)).withColumnRenamed("__f", "__first")
+            made = {a.name: Bound("value", type=k) for a, (_, _, k) in zip(wanted, steps)}
         for i, other in enumerate(extra):
             df = df.join(other, F.col("__k0").eqNullSafe(F.col(f"__j{i}")), "left").drop(f"__j{i}")
         if not by_node and len(g.path) > 1:
