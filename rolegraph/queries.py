@@ -55,11 +55,11 @@ PROGRAMS: dict[str, tuple[str, str] | tuple[str, str, dict[str, int]]] = {
     "two_finds_cross": ("find region as r\nfind nation where name contains \"_2\" as n\nreturn r.name, n.name", "SELECT r_name, n_name FROM region, nation WHERE n_name LIKE '%_2%' ESCAPE '!' AND contains(n_name, '_2')"),
     "two_finds_natural": ("find part where size > 40 as p\nfind part where size < 43 as p\ncount p as n\nreturn n", "SELECT count(*) AS n FROM part WHERE p_size > 40 AND p_size < 43"),
     # reach
-    "upto_bounded": ('find part where id = "#e-0" or id = "#p-0" as p\nfollow p contains piece upto 3 as q\nreturn q.id', "WITH RECURSIVE r(n, d) AS (SELECT 0, 0 UNION SELECT c, d + 1 FROM r, (SELECT p_partkey AS k, unnest([2 * p_partkey + 1, 2 * p_partkey + 2]) AS c FROM part) WHERE k = n AND d < 3 AND c < (SELECT max(p_partkey) + 1 FROM part)) SELECT DISTINCT '#' || (CASE WHEN p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || p_partkey AS q_id FROM r JOIN part ON p_partkey = n WHERE d > 0"),
-    "upto_any_tree": ('find part where id = "#e-1" or id = "#p-1" as p\nfollow p contains piece upto any as q\ncount distinct q as n\nreturn n', "WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT c FROM r, (SELECT p_partkey AS k, unnest([2 * p_partkey + 1, 2 * p_partkey + 2]) AS c FROM part) WHERE k = n AND c < (SELECT max(p_partkey) + 1 FROM part)) SELECT count(*) - 1 AS n FROM r"),
-    "upto_any_cycle": ('find supplier where id = "#s-0" as s\nfollow s next_firm succ upto any as x\nreturn x.id', "WITH RECURSIVE m AS (SELECT count(*) AS c FROM supplier), r(n) AS (SELECT CAST(1 % c AS BIGINT) FROM m UNION SELECT (n * 7 + 1) % c FROM r, m) SELECT '#s-' || n AS x_id FROM r"),
-    "upto_filtered": ('find part where id = "#e-0" or id = "#p-0" as p\nfollow p contains piece where size > 40 upto 4 as q\nreturn q.id, q.size', "WITH RECURSIVE r(n, d) AS (SELECT 0, 0 UNION SELECT c, d + 1 FROM r, (SELECT p_partkey AS k, unnest([2 * p_partkey + 1, 2 * p_partkey + 2]) AS c FROM part) WHERE k = n AND d < 4 AND c < (SELECT max(p_partkey) + 1 FROM part)) SELECT DISTINCT '#' || (CASE WHEN p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || p_partkey AS q_id, CAST(p_size AS BIGINT) AS q_size FROM r JOIN part ON p_partkey = n WHERE d > 0 AND p_size > 40"),
-    "upto_reverse": ('find part where id = "#e-100" or id = "#p-100" as q\nfollow q contains whole upto any as p\nreturn p.id', "WITH RECURSIVE r(n) AS (SELECT CAST(100 AS BIGINT) UNION SELECT (n - 1) // 2 FROM r WHERE n > 0) SELECT '#' || (CASE WHEN p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || p_partkey AS p_id FROM r JOIN part ON p_partkey = n WHERE n < 100"),
+    "upto_bounded": ("find part as p\nfollow p contains piece upto 3 as q\ngroup by p as g\ncount distinct g.q as n\nreturn p.id, n", "WITH RECURSIVE t AS (SELECT p_partkey AS k, unnest([2 * p_partkey + 1, 2 * p_partkey + 2]) AS c FROM part), e AS (SELECT k, c FROM t WHERE c < (SELECT max(p_partkey) + 1 FROM part)), r(s, n, d) AS (SELECT k, c, 1 FROM e UNION SELECT s, c, d + 1 FROM r JOIN e ON n = k WHERE d < 3) SELECT '#' || (CASE WHEN a.p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || a.p_partkey AS p_id, count(DISTINCT n) AS n FROM r JOIN part a ON a.p_partkey = s GROUP BY 1"),
+    "upto_any_tree": ("find part as p\nfollow p contains piece upto any as q\ngroup by p as g\ncount distinct g.q as n\nreturn p.id, n", "WITH RECURSIVE t AS (SELECT p_partkey AS k, unnest([2 * p_partkey + 1, 2 * p_partkey + 2]) AS c FROM part), e AS (SELECT k, c FROM t WHERE c < (SELECT max(p_partkey) + 1 FROM part)), r(s, n) AS (SELECT k, c FROM e UNION SELECT s, c FROM r JOIN e ON n = k) SELECT '#' || (CASE WHEN a.p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || a.p_partkey AS p_id, count(*) AS n FROM r JOIN part a ON a.p_partkey = s GROUP BY 1"),
+    "upto_any_cycle": ("find supplier as s\nfollow s next_firm succ upto any as x\ngroup by s as g\ncount distinct g.x as n\nreturn s.id, n", "WITH RECURSIVE m AS (SELECT count(*) AS c FROM supplier), r(s, n) AS (SELECT s_suppkey, (s_suppkey * 7 + 1) % c FROM supplier, m UNION SELECT s, (n * 7 + 1) % c FROM r, m) SELECT '#s-' || s AS s_id, count(*) AS n FROM r GROUP BY s"),
+    "upto_filtered": ("find part as p\nfollow p contains piece where size > 40 upto 4 as q\nreturn p.id, q.id, q.size", "WITH RECURSIVE t AS (SELECT p_partkey AS k, unnest([2 * p_partkey + 1, 2 * p_partkey + 2]) AS c FROM part), e AS (SELECT k, c FROM t WHERE c < (SELECT max(p_partkey) + 1 FROM part)), r(s, n, d) AS (SELECT k, c, 1 FROM e UNION SELECT s, c, d + 1 FROM r JOIN e ON n = k WHERE d < 4) SELECT DISTINCT '#' || (CASE WHEN a.p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || a.p_partkey AS p_id, '#' || (CASE WHEN b.p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || b.p_partkey AS q_id, CAST(b.p_size AS BIGINT) AS q_size FROM r JOIN part a ON a.p_partkey = s JOIN part b ON b.p_partkey = n WHERE b.p_size > 40"),
+    "upto_reverse": ("find part as q\nfollow q contains whole upto any as p\ngroup by q as g\ncount distinct g.p as n\nreturn q.id, n", "WITH RECURSIVE r(s, n) AS (SELECT p_partkey, (p_partkey - 1) // 2 FROM part WHERE p_partkey > 0 UNION SELECT s, (n - 1) // 2 FROM r WHERE n > 0) SELECT '#' || (CASE WHEN a.p_type LIKE 'ECONOMY%' THEN 'e' ELSE 'p' END) || '-' || a.p_partkey AS q_id, count(*) AS n FROM r JOIN part a ON a.p_partkey = s GROUP BY 1"),
     "upto_reused_name": ("find supplier as s\nfollow s next_firm succ upto any as s\nreturn s.id", "WITH RECURSIVE m AS (SELECT count(*) AS c FROM supplier), r(s, n) AS (SELECT s_suppkey, (s_suppkey * 7 + 1) % c FROM supplier, m UNION SELECT s, (n * 7 + 1) % c FROM r, m) SELECT '#s-' || s AS s_id FROM r WHERE s = n"),
     # unions
     "or_union": ('find nation where name = "nation_1" as n\nfollow n based_in firm as s\nor\nfind nation where name = "nation_2" as n\nfollow n based_in firm as s\nreturn s.name', "SELECT s_name FROM supplier WHERE s_nationkey IN (1, 2)"),
