@@ -38,7 +38,7 @@ from rolegraph.llm._tokens import PIECE, encoder, with_end
 
 INDEX_MAGIC, DATA_MAGIC = b"RGTIDX01", b"RGTREC01"
 #: Bytes of text in a range, and of records in a shard, about.
-RANGE_BYTES = SHARD_BYTES = 128 << 20
+RANGE_BYTES = SHARD_BYTES = 64 << 20
 READ_BYTES = 8 << 20
 
 

@@ -73,17 +73,15 @@ def test_filter_and_empty(docs, no_docs):
     assert M.jaccard_components(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("bits", [3, 12])
-def test_sets_that_share_a_name_stay_apart(spark, bits):
+def test_sets_that_share_a_name_stay_apart(spark):
     texts = [t for f in range(8) for t in family(40 + f, 6, 30 + 5 * f, 2)] + [prose(500 + i, 9) for i in range(40)]
     rows = list(enumerate(texts + texts[:20]))
-    got = M.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), name_bits=bits)
+    got = M.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), name_bits=4)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("tokens, at_once", [(300, 4), (4000, 128)])
-def test_parts_blocks_and_rounds(spark, monkeypatch, tokens, at_once):
-    monkeypatch.setattr(M, "PART_TOKENS", tokens)  # large groups are cut
+def test_parts_blocks_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_TOKENS", 600)  # large groups are cut
     r = random.Random(9)
     texts = family(3, 150, 60, 3) + family(4, 60, 200, 4) + [t for f in range(6) for t in family(50 + f, 10, 40, 2)]
     base = prose(77, 60).split()
@@ -154,7 +152,7 @@ def test_a_family_grows_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(M, "written", counting)
     monkeypatch.setattr(M, "PART_TOKENS", 8_000)
     base, seen = prose(5, 60).split(), {}
-    for n in (250, 500, 1000):
+    for n in (250, 1000):
         r = random.Random(n)
         texts = []
         for i in range(n):
@@ -164,5 +162,5 @@ def test_a_family_grows_in_proportion(spark, monkeypatch):
         made.clear()
         M.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).count()
         seen[n] = {k: v for k in ("jaccard-links", "jaccard-asks", "jaccard-entries") for v in [sum(made[k][:2])]}
-    for n, v in seen.items():  # about 50, 200 and 800 pairs a document are linked
+    for n, v in seen.items():  # the pairs that are linked grow with the square
         assert v["jaccard-links"] <= 3 * n and v["jaccard-asks"] <= 2 * n and v["jaccard-entries"] <= 8 * n, seen
