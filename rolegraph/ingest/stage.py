@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import functools
 import hashlib
 import io
 import json
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from rolegraph.functions.chunk import split
 from rolegraph.functions.sniff import sniff
 from rolegraph.ingest.normalize import Envelope, UnsupportedKind, normalize
+from rolegraph.operators.scratch import stored
+from rolegraph.sources.bulk import numbered, records
 from rolegraph.store.store import Store, text_of
 
 CHUNKS = "sha256 string, file string, kind string, error string, ord int, page int, offset long, text string"
@@ -118,3 +121,80 @@ def stage_all(store: Store, path: str) -> list[tuple[str, str, list[str]]]:
             doc, notes = "", [str(e)]
         out.append((r.file, doc, notes))
     return out
+
+
+PIECES = "sha256 string, file string, what string, kind string, error string, pages int, ord int, page int, text string, format string, payload string"
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for every document (or its error), chunk, image and table of the files."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    for part in batches:
+        rows = []
+        for sha, file, content in zip(part["sha256"], part["file"], part["content"]):
+            try:
+                env = normalize(bytes(content), file)
+            except (UnsupportedKind, ValueError) as e:
+                rows.append((sha, file, "document", sniff(bytes(content), file), str(e), *[None] * 6))
+                continue
+            rows.append((sha, file, "document", env.kind, None, env.meta.get("pages") or len(env.anchors) or None, *[None] * 5))
+            for i, (text, at) in enumerate(split(env.body)):
+                rows.append((sha, file, "chunk", env.kind, None, None, i, env.page_at(at), text, None, None))
+            for image in env.images:
+                rows.append((sha, file, "media", env.kind, None, None, None, image.page, image.caption, image.format, None))
+            for t in env.tables:
+                name = f"attach:{sha[:8]}-{re.sub(r'[^A-Za-z0-9_-]+', '_', t.name)}"
+                rows.append((sha, file, "table", env.kind, None, None, None, None, name, None, json.dumps(t.rows, ensure_ascii=False)))
+        yield pd.DataFrame(rows, columns=names).astype({"pages": "Int32", "ord": "Int32", "page": "Int32"})
+
+
+def stage_files(store: Store, files: DataFrame) -> tuple[int, DataFrame]:
+    """Add all files (file, content) whose bytes the store lacks, as one segment; the number of new documents, and (file, error) of refused ones.
+
+    Files are read, cut and numbered by tasks; of equal contents the file with the smallest name
+    counts.  Tables become blobs whose rows are in the log, so refine works on them; their CSV files
+    are only written by stage().
+    """
+    hashed = files.select("file", "content", F.sha2("content", 256).alias("sha256"))
+    names = hashed.groupBy("sha256").agg(F.min("file").alias("file"))
+    docs = store.nodes("document")
+    if docs is not None:
+        names = names.join(docs.select("sha256"), "sha256", "left_anti")
+    fresh = hashed.join(names, ["sha256", "file"], "left_semi").dropDuplicates(["sha256"])
+    found = stored(fresh.select("sha256", "file", "content").mapInPandas(_pieces, PIECES), "stage")
+    refused = found.where("error is not null").select("file", "error")
+    made, n = numbered(found.where("what = 'document' and error is null"))
+    if not n:
+        return 0, refused
+    first, number = store.reserve("document", n)
+    made = made.select("*", (F.lit(first) + F.col("__i")).alias("doc"))
+    parts, classes, members = [], {"document": n}, found.where("what <> 'document'").join(made.select("sha256", "doc"), "sha256")
+    for cls, which in (("chunk", "what in ('chunk', 'table')"), ("media", "what = 'media'")):
+        own, m = numbered(members.where(which))
+        if m:
+            nid, shown = store.reserve(cls, m)
+            parts.append(own.select("*", (F.lit(nid) + F.col("__i")).alias("nid"), F.concat(F.lit(f"#{cls[0]}-"), (F.lit(shown) + F.col("__i")).cast("string")).alias("id"), F.lit(cls).alias("cls"), (F.lit(sum(classes.values())) + F.col("__i")).alias("at")))
+            classes[cls] = m
+    at, several = store.position() + 1, sum(classes.values()) - n
+    source = F.concat(F.lit("doc:"), F.regexp_replace("file", r"\s", "_"))
+    text = lambda **columns: F.map_filter(F.create_map(*[x for k, c in columns.items() for x in (F.lit(k), c.cast("string"))]), lambda _, v: v.isNotNull())
+    out = records(made, {
+        "pos": F.lit(at) + F.col("__i"), "op": F.lit("node"), "nid": F.col("doc"), "id": F.concat(F.lit("#d-"), (F.lit(number) + F.col("__i")).cast("string")), "cls": F.lit("document"),
+        "props": text(title=F.col("file"), mime=F.col("kind"), pages=F.col("pages"), sha256=F.col("sha256")), "state": F.lit("composite"), "source": source,
+    })
+    tables = 0
+    if parts:
+        every = stored(functools.reduce(DataFrame.unionByName, parts), "stage-pieces")
+        media = F.col("cls") == "media"
+        props = F.when(media, text(caption=F.col("text"), format=F.col("format"), page=F.col("page"))).otherwise(text(text=F.col("text"), page=F.col("page"), ord=F.col("ord")))
+        origin = F.concat(source, F.coalesce(F.concat(F.lit("#p"), F.col("page").cast("string")), F.lit("")))
+        state = F.when(F.col("what") == "table", "blob").otherwise("atom")
+        out = out.union(records(every, {"pos": F.lit(at) + F.col("at"), "op": F.lit("node"), "nid": F.col("nid"), "id": F.col("id"), "cls": F.col("cls"), "props": props, "state": state, "origin": F.col("doc"), "source": origin}))
+        edge = F.lit(at + several) + F.col("at")
+        out = out.union(records(every, {"pos": edge, "op": F.lit("edge"), "eid": edge, "type": F.lit("part_of"), "a": F.col("nid"), "b": F.col("doc"), "props": F.create_map().cast("map<string,string>")}))
+        rows, tables = numbered(every.where("what = 'table'").drop("__i"))
+        if tables:
+            out = out.union(records(rows, {"pos": F.lit(at + n + 2 * several) + F.col("__i"), "op": F.lit("rows"), "nid": F.col("nid"), "payload": F.col("payload")}))
+    counts = {"node": n + several, "edge": several, "rows": tables}
+    store.append(out, {k: v for k, v in counts.items() if v}, classes, n + 2 * several + tables)
+    return n, refused

@@ -55,7 +55,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").option("mode", "FAILFAST").csv(path)
 
 
-def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
     """df with row numbers from 0 in `__i`, counted by partition, and how many."""
     low = (1 << 33) - 1
     df = stored(df.withColumn("__m", F.monotonically_increasing_id()), "load")
@@ -71,7 +71,7 @@ def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
     return df.withColumn("__i", base + F.col("__m").bitwiseAND(low)).drop("__m"), total
 
 
-def _records(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def records(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kinds = [c.strip().split(" ") for c in RECORD.split(", ")]
     return df.select(*[(columns[c] if c in columns else F.lit(None)).cast(t).alias(c) for c, t in kinds])
 
@@ -99,13 +99,13 @@ def load_nodes(store: Store, path: str, cls: str) -> int:
     if unknown := [c for c in df.columns if c not in props]:
         raise LoadProblem(f"{cls} has no property {', '.join(unknown)}; nothing was written")
     kinds = {c: props[c] for c in df.columns}
-    rows, n = _numbered(df)
+    rows, n = numbered(df)
     if not n:
         return 0
     _bad_cells(rows, kinds)
     nid, number = store.reserve(cls, n)
-    records = _records(rows, {"pos": F.lit(store.position() + 1) + F.col("__i"), "op": F.lit("node"), "nid": F.lit(nid) + F.col("__i"), "id": F.concat(F.lit(f"#{cls[0]}-"), (F.lit(number) + F.col("__i")).cast("string")), "cls": F.lit(cls), "props": _map(kinds), "state": F.lit("atom")})
-    store.append(records, {"node": n}, {cls: n}, n)
+    added = records(rows, {"pos": F.lit(store.position() + 1) + F.col("__i"), "op": F.lit("node"), "nid": F.lit(nid) + F.col("__i"), "id": F.concat(F.lit(f"#{cls[0]}-"), (F.lit(number) + F.col("__i")).cast("string")), "cls": F.lit(cls), "props": _map(kinds), "state": F.lit("atom")})
+    store.append(added, {"node": n}, {cls: n}, n)
     return n
 
 
@@ -121,7 +121,7 @@ def load_edges(store: Store, path: str, edge: str, roles: dict[str, str]) -> tup
     if unknown := [c for c in df.columns if c not in e.props and c not in roles.values()]:
         raise LoadProblem(f"{edge} has no property {', '.join(unknown)}; nothing was written")
     kinds = {c: e.props[c] for c in df.columns if c in e.props}
-    rows, n = _numbered(df)
+    rows, n = numbered(df)
     if not n:
         return 0, []
     _bad_cells(rows, kinds)
@@ -144,9 +144,9 @@ def load_edges(store: Store, path: str, edge: str, roles: dict[str, str]) -> tup
     n = rows.where(good).count()
     if n:
         a, b = e.roles
-        written, _ = _numbered(rows.where(good))
-        records = _records(written, {"pos": F.lit(store.position() + 1) + F.col("__i"), "op": F.lit("edge"), "eid": F.lit(store.position() + 1) + F.col("__i"), "type": F.lit(edge), "a": F.col(f"__n_{a}"), "b": F.col(f"__n_{b}"), "props": _map(kinds)})
-        store.append(records, {"edge": n}, {}, n)
+        written, _ = numbered(rows.where(good))
+        added = records(written, {"pos": F.lit(store.position() + 1) + F.col("__i"), "op": F.lit("edge"), "eid": F.lit(store.position() + 1) + F.col("__i"), "type": F.lit(edge), "a": F.col(f"__n_{a}"), "b": F.col(f"__n_{b}"), "props": _map(kinds)})
+        store.append(added, {"edge": n}, {}, n)
     return n, notes
 
 

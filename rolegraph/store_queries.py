@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegraph.catalog import Catalog
+from rolegraph.ingest.stage import stage_files
 from rolegraph.operators.scratch import shared_dir
 from rolegraph.session import Session
 from rolegraph.sources.bulk import load_edges, load_nodes
@@ -133,6 +134,16 @@ def store_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.df("find nation as n\ngroup by n.class as g\ncount g.n as n_nodes\nreturn g.key, n_nodes")
 
 
+def store_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a file, staged by tasks: documents with the pieces they hold and the pieces' signs."""
+    b = _Build(spark, sf_dir)
+    files = b.table("documents").where("length(text) > 0").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("file"), F.encode("text", "UTF-8").alias("content"))
+    stage_files(b.store, files)
+    stage_files(b.store, files)  # what is there already is left alone
+    pieces = b.df("find chunk as c\nfollow c part_of whole as d\nreturn d.title, c.ord, c.text")
+    return pieces.groupBy("d_title").agg(F.count("*").alias("pieces"), F.sum(F.length("c_text")).alias("signs"), F.max("c_ord").alias("last"))
+
+
 def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records of each kind the verbs leave in the log."""
     b = _Build(spark, sf_dir)
@@ -142,7 +153,7 @@ def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (store_load_nodes, store_load_jsonl, store_load_edges, store_assert_retire, store_merge, store_snapshot_reopen, store_refine, store_derive, store_log)}
+    return {f.__name__: f for f in (store_load_nodes, store_load_jsonl, store_load_edges, store_assert_retire, store_merge, store_snapshot_reopen, store_refine, store_derive, store_stage, store_log)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,5 +166,14 @@ def oracle_sql() -> dict[str, str]:
         "store_snapshot_reopen": "SELECT '#n-' || (n_nationkey + 1) AS n_id, n_name, CAST(n_nationkey AS BIGINT) AS n_code FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT '#n-' || (count(*) + 1), 'Thule', 50 FROM nation",
         "store_refine": "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_code FROM nation",
         "store_derive": "SELECT 'nation' AS g_key, count(*) AS n_nodes FROM nation UNION ALL SELECT 'isle', 2",
+        "store_stage": STAGE_SQL,
         "store_log": "SELECT 'node' AS op, count(*) + 2 AS n FROM region UNION ALL SELECT 'flag', 1 UNION ALL SELECT 'retire', 1",
     }
+
+
+#: Of equal texts the smallest doc_id names the document; texts are single paragraphs, cut at 2400 signs.
+STAGE_SQL = """
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS d_title, CAST(ceil(n / 2400.0) AS BIGINT) AS pieces, CAST(n AS BIGINT) AS signs, CAST(ceil(n / 2400.0) - 1 AS BIGINT) AS last
+FROM (SELECT min(doc_id) AS doc_id, length(trim(text, E' \\t\\n\\r\\x0b\\x0c')) AS n FROM documents WHERE length(text) > 0 GROUP BY text)
+WHERE n > 0
+"""
