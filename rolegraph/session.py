@@ -65,7 +65,11 @@ class Session:
     def rows(self, program: str) -> list[list]:
         """The last return's rows as plain values."""
         df = self.df(program)
-        return guarded(self.graph.spark, df, lambda d: [list(r) for r in d.collect()])
+        out = guarded(self.graph.spark, df, lambda d: [list(r) for r in d.collect()])
+        if getattr(self.graph, "track", False):
+            for p in self.pipelines(self._checked(program)):
+                self._track(p)
+        return out
 
     def run(self, program: str) -> str:
         """Results and receipts as text; an error is text too."""
@@ -90,6 +94,8 @@ class Session:
                 elif isinstance(s, T.Return):
                     out.append(self._text(pending, s))
                     self._export(pending)
+                    if getattr(self.graph, "track", False):
+                        self._track(pending)
                     pending = []
                 elif isinstance(s, T.WRITES):
                     if pending:
@@ -127,6 +133,16 @@ class Session:
                 ids = state.df.select(F.col(n).alias("n"), F.col(f"{n}__id").alias("id")).where("id is not null").distinct().orderBy("n")
                 self.bound[n] = (b.cls, guarded(self.graph.spark, ids, lambda d: [r.id for r in d.collect()]))
 
+    def _track(self, stmts: list[T.Stmt]) -> None:
+        """Count what each follow walked through: where it came from and where it went."""
+        walked = []
+        for i, s in enumerate(stmts):
+            if isinstance(s, T.Follow):
+                _, state = self._state([x for x in stmts[: i + 1] if isinstance(x, (*T.BRANCH, T.Or))])
+                ends = [F.struct(F.col(n).alias("nid"), F.col(f"{n}__state").alias("state")) for n in (s.source, s.name)]
+                walked.append(state.df.where(F.col(s.name).isNotNull()).select(F.explode(F.array(*ends)).alias("e")).select("e.*"))
+        self.graph.touch(walked)
+
     def _text(self, stmts: list[T.Stmt], s: T.Return) -> str:
         compiler, state = self._state([*stmts, s])
         blocks, header, total = render.blocks(self.graph, compiler, state, s)

@@ -9,6 +9,7 @@ later records win by position.  One process writes, under an advisory lock; read
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import shutil
@@ -47,7 +48,9 @@ def text_of(value: object) -> str | None:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, catalog: Catalog | None = None, lock: bool = True):
+    def __init__(self, spark: SparkSession, path: str, catalog: Catalog | None = None, lock: bool = True, track: bool = False):
+        """track: reads count which nodes they walk through, in tables beside the log; a count may be lost, a record never is."""
+        self.track = track
         self.spark, self.path = spark, os.path.abspath(path.removeprefix("file://"))
         os.makedirs(self.path, exist_ok=True)
         self._lock = None
@@ -239,7 +242,24 @@ class Store:
             else:
                 props.append(v.try_cast(SPARK_TYPES[t]).alias(p))
         lineage = F.when(F.col("origin").isNotNull(), F.concat(F.lit("from node "), F.col("origin").cast("string"))).otherwise("")
-        return made.select("nid", "id", F.col("cls").alias("class"), "state", F.lit(0).cast("long").alias("query_traffic"), lineage.alias("lineage"), *props)
+        traffic, walks = self.traffic(), F.lit(0).cast("long")
+        if traffic is not None:
+            made, walks = made.join(traffic.select("nid", "walks"), "nid", "left"), F.coalesce("walks", F.lit(0).cast("long"))
+        return made.select("nid", "id", F.col("cls").alias("class"), "state", walks.alias("query_traffic"), lineage.alias("lineage"), *props)
+
+    def touch(self, walked: list[DataFrame]) -> None:
+        """Count nodes that statements walked through: (nid, state) of each statement, distinct."""
+        rows = [w.where("nid is not null").distinct().select("nid", (F.col("state") == "blob").cast("long").alias("blob")) for w in walked]
+        if rows:
+            functools.reduce(DataFrame.union, rows).groupBy("nid").agg(F.count("*").alias("walks"), F.sum("blob").alias("blobs")).write.mode("append").parquet("file://" + self._file("telemetry"))
+
+    def traffic(self) -> DataFrame | None:
+        """(nid, walks, blobs) as counted so far, or None."""
+        path = self._file("telemetry")
+        if not os.path.isdir(path) or not any(x.endswith(".parquet") for x in os.listdir(path)):
+            return None
+        each = self.spark.read.schema("nid long, walks long, blobs long").parquet("file://" + path)
+        return each.groupBy("nid").agg(F.sum("walks").alias("walks"), F.sum("blobs").alias("blobs"))
 
     def aliases(self) -> DataFrame:
         """(nid, to): merged nodes and the one they are now; kept free of chains by the writer."""
@@ -268,11 +288,14 @@ class Store:
         return health(self)
 
     def signals(self) -> DataFrame:
-        r = self.records().where("op in ('node', 'patch', 'flag')")
+        r = self.records().where("op in ('node', 'patch', 'flag')").select("nid", "op", "pos", "conflicts", F.lit(0).cast("long").alias("blobs"))
+        traffic = self.traffic()
+        if traffic is not None:
+            r = r.unionByName(traffic.select("nid", "blobs").where("blobs > 0"), allowMissingColumns=True)
         return r.groupBy("nid").agg(
             F.sum(F.when(F.col("op") == "patch", F.coalesce("conflicts", F.lit(0))).otherwise(0)).alias("conflicts"),
             F.count(F.when(F.col("op") == "flag", 1)).alias("flags"),
-            F.lit(0).cast("long").alias("traversals"),
+            F.sum("blobs").alias("traversals"),
             F.max(F.when(F.col("op") != "flag", F.col("pos"))).alias("last_confirmed"),
         )
 

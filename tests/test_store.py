@@ -267,3 +267,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert "entity: 3 nodes made" in capsys.readouterr().out
     assert cli.main(["canonical", "find  entity   as e"]) == 0
     assert capsys.readouterr().out == "find entity as e\n"
+
+
+def test_traffic_is_counted_where_it_is_asked_for(spark, tmp_path):
+    c = catalog()
+    program = 'find mill as m\nfollow m grinds product as f or none\nreturn m.name, f.name'
+    with Store(spark, str(tmp_path / "db"), c, track=True) as store:
+        s = Session(store)
+        s.execute('assert mill {name: "A"} as a\nassert mill {name: "B"} as b\nassert flour {name: "R"} as r\nassert edge grinds(site: a, product: r)')
+        assert s.rows("find mill as m\nreturn m.name, m.query_traffic") == [["A", 0], ["B", 0]]
+        position = store.position()
+        s.rows(program)
+        s.execute(program)
+        assert store.position() == position  # reads leave no record
+        assert sorted(s.rows("find nodes as n\nreturn n.name, n.query_traffic")) == [["A", 2], ["B", 0], ["R", 2]]
+        assert s.rows('find mill where name = "A" as m\nfollow m grinds product as f\nfollow f grinds site as x or none\nreturn m.name') == [["A"]]
+        assert s.rows('find mill where name = "A" as m\nreturn m.query_traffic') == [[4]]  # left by one follow, reached by the other
+    with Store(spark, str(tmp_path / "db"), c) as plain:
+        s = Session(plain)
+        s.rows(program)
+        assert s.rows('find mill where name = "A" as m\nreturn m.query_traffic, m.health.structure') == [[4, pytest.approx(0.01)]]
+
+
+def test_walks_through_blobs_weigh_on_structure(spark, tmp_path):
+    c = catalog()
+    with Store(spark, str(tmp_path / "db"), c, track=True) as store:
+        s = Session(store)
+        os.makedirs(os.path.join(store.path, "attachments"))
+        with open(os.path.join(store.path, "attachments", "t.csv"), "w") as f:
+            f.write("kind\nOat\n")
+        s.execute('assert mill {name: "A"} as a\nassert flour {name: attach:t} as r\nassert edge grinds(site: a, product: r)')
+        for _ in range(2):
+            s.rows("find mill as m\nfollow m grinds product as f\nreturn f.id")
+        assert s.rows("find flour as f\nreturn f.health.structure, f.query_traffic") == [[pytest.approx(0.04), 2]]
