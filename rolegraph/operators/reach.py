@@ -48,4 +48,4 @@ def reach(sources: DataFrame, edges: DataFrame, depart: str, arrive: str, steps:
         left = None if left is None else left - 1
         if len(seen) > MERGE:  # the anti-joins read few tables
             seen = [stored(reduce(DataFrame.union, seen), "reach")]
-    return reduce(DataFrame.union, seen, front)
+    return reduce(DataFrame.union, seen) if seen else front
