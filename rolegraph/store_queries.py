@@ -15,6 +15,7 @@ from rolegraph.operators.scratch import shared_dir
 from rolegraph.session import Session
 from rolegraph.sources.bulk import load_edges, load_nodes
 from rolegraph.store.store import Store
+from rolegraph.streaming.feed import follow_changes, upsert_latest
 
 
 def _catalog() -> Catalog:
@@ -134,6 +135,46 @@ def store_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.df("find nation as n\ngroup by n.class as g\ncount g.n as n_nodes\nreturn g.key, n_nodes")
 
 
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a compacted binding go, one composite node stands for them."""
+    b = _Build(spark, sf_dir)
+    b.nations()
+    Session(b.store).execute('find nation where code < 10 as n\ncompact n as low {name: "Low"}')
+    return b.df("find nation as n\nreturn n.name, n.state")
+
+
+def store_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names like known ones become candidates until they are merged or declared distinct."""
+    b = _Build(spark, sf_dir)
+    b.nations()
+    pairs = ("Zanzibar", "Zanzibarr"), ("Quivira", "Quiviraa"), ("Lemuria", "Lemuriaa")
+    lines = [f'assert nation {{name: "{n}"}} as x{i}{j}' for i, pair in enumerate(pairs) for j, n in enumerate(pair)]
+    Session(b.store).execute("\n".join([*lines, 'distinct x10, x11 reason "two lands"', "merge x20, x21"]))
+    return b.df("find dup_candidates as d\nreturn d.class, d.a, d.b")
+
+
+def store_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record of each node, kept up to date from the change feed by a stream that starts twice."""
+    b = _Build(spark, sf_dir)
+    s, target = Session(b.store), f"{b.top}/latest"
+
+    def catch_up() -> None:
+        q = follow_changes(b.store, upsert_latest(target), f"{b.top}/feed")
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    names = [r.r_name for r in b.table("region").orderBy("r_regionkey").collect()]  # five at any scale
+    s.execute("\n".join(f'assert region {{name: "{n}"}} as r{i}' for i, n in enumerate(names)))
+    catch_up()
+    s.execute('retire #r-2 reason "gone"\nassert region {name: "Atlantis"} as a')
+    catch_up()
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    last = max(int(f.getPath().getName()[1:]) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    return spark.read.parquet(f"{target}/v{last}").groupBy("op").agg(F.count("*").alias("n"))
+
+
 def store_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a file, staged by tasks: documents with the pieces they hold and the pieces' signs."""
     b = _Build(spark, sf_dir)
@@ -153,7 +194,7 @@ def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (store_load_nodes, store_load_jsonl, store_load_edges, store_assert_retire, store_merge, store_snapshot_reopen, store_refine, store_derive, store_stage, store_log)}
+    return {f.__name__: f for f in (store_load_nodes, store_load_jsonl, store_load_edges, store_assert_retire, store_merge, store_snapshot_reopen, store_refine, store_derive, store_compact, store_duplicates, store_feed, store_stage, store_log)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -166,6 +207,9 @@ def oracle_sql() -> dict[str, str]:
         "store_snapshot_reopen": "SELECT '#n-' || (n_nationkey + 1) AS n_id, n_name, CAST(n_nationkey AS BIGINT) AS n_code FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT '#n-' || (count(*) + 1), 'Thule', 50 FROM nation",
         "store_refine": "SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_code FROM nation",
         "store_derive": "SELECT 'nation' AS g_key, count(*) AS n_nodes FROM nation UNION ALL SELECT 'isle', 2",
+        "store_compact": "SELECT n_name, 'atom' AS n_state FROM nation WHERE n_nationkey >= 10 UNION ALL SELECT 'Low', 'composite'",
+        "store_duplicates": "SELECT 'nation' AS d_class, '#n-' || (count(*) + 1) AS d_a, '#n-' || (count(*) + 2) AS d_b FROM nation",
+        "store_feed": "SELECT 'node' AS op, count(*) AS n FROM region UNION ALL SELECT 'retire', 1",
         "store_stage": STAGE_SQL,
         "store_log": "SELECT 'node' AS op, count(*) + 2 AS n FROM region UNION ALL SELECT 'flag', 1 UNION ALL SELECT 'retire', 1",
     }
