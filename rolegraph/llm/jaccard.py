@@ -56,6 +56,8 @@ CHUNK = 1 << 16
 KEYS = 6
 #: Shingles of a part, and of the queries that meet it in one task, about.
 PART_TOKENS = 1 << 19
+#: Classes that a task remembers having sent.
+SEEN = 100_000
 #: Queries that are compared at once; members that make a shingle a column of the dense part; its numbers at most.
 AT_ONCE = 128
 DENSE = 12
@@ -143,6 +145,13 @@ def _levels(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["at", "levels"])
 
 
+def _first_seen(seen: set[int], own: np.ndarray) -> np.ndarray:
+    """Which of the classes a task meets for the first time, as far as it remembers (SEEN classes)."""
+    if len(seen) > SEEN:
+        seen.clear()
+    return np.array([c not in seen and (seen.add(c) or True) for c in own.tolist()], dtype=bool)
+
+
 def _prefixes(naming: Naming, levels, bits=None):
     """(shingle, class, n, place) of each document's prefix; bits: only of shingles that the filter has."""
 
@@ -152,9 +161,7 @@ def _prefixes(naming: Naming, levels, bits=None):
             for _, _, data, offsets in text_slices(batch.column(1)):
                 sets, begin, own = naming.sets(data, offsets)
                 n = np.diff(begin)
-                fresh = np.array([c not in seen and (seen.add(c) or True) for c in own.tolist()], dtype=bool) & (n > 0)
-                if len(seen) > 500_000:
-                    seen.clear()
+                fresh = _first_seen(seen, own) & (n > 0)
                 doc = np.repeat(np.arange(len(n)), n)
                 key = (levels.value[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (sets >> np.uint64(8))
                 order = np.lexsort((key, doc))
@@ -170,15 +177,14 @@ def _prefixes(naming: Naming, levels, bits=None):
 
 
 def _sets(naming: Naming):
-    """(class, set), once for each class of a task."""
+    """(class, set), about once for each class of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
                 sets, begin, own = naming.sets(data, offsets)
-                fresh = pa.array([c not in seen and (seen.add(c) or True) for c in own.tolist()], pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(own), binary_list(sets, begin)], names=["class", "set"]).filter(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(own), binary_list(sets, begin)], names=["class", "set"]).filter(pa.array(_first_seen(seen, own)))
 
     return run
 

@@ -37,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._spark import drawn, keep_ids, row_mark, small_batches, written
-from rolegraph.llm._text import Words, binary_list, distinct_per_doc, text_slices
+from rolegraph.llm._text import Words, binary_list, give_back, text_slices
 
-PER_LABEL = 3_000
+PER_LABEL = 2_000
 FLOOR, CHANCE = 0.05, 2.0
 BLOCK = 64
 K = 15
@@ -345,7 +345,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     column = lambda k, kind: np.frombuffer(b"".join(found[k].to_pylist()), kind).astype(np.uint64 if k == "terms" else np.int64)
 
     def document_frequencies(vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-        own = rows.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+        shared = spark.sparkContext.broadcast(vocabulary)
+        own = rows.select("text").mapInArrow(_frequencies(shared), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+        shared.destroy()
         df = np.zeros(len(vocabulary), dtype=np.int64)
         df[own["place"].to_numpy()] = own["df"].to_numpy()
         return rows.count(), df
@@ -354,7 +356,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     index = build_index(found["doc_id"].to_numpy(), y.astype(np.float64), column("terms", np.uint64), column("counts", np.uint32), np.array([len(x) // 8 for x in found["terms"].to_pylist()], dtype=np.int64), share, document_frequencies)
     if not len(index.ids):
         return alike.withColumn("score", F.lit(share))
-    own = marked.repartition(EXAMPLE_TASKS).mapInArrow(_own_votes(spark.sparkContext.broadcast(index)), "label int, vote double").toArrow()
+    del found
+    give_back()
+    shared = spark.sparkContext.broadcast(index)
+    own = marked.repartition(EXAMPLE_TASKS).mapInArrow(_own_votes(shared), "label int, vote double").toArrow()
+    shared.destroy()
     tried = own["label"].to_numpy()
     of = np.where(tried == 1, max(1, sizes[1] / PER_LABEL), max(1, sizes[0] / PER_LABEL))
     index.curve = fitted(own["vote"].to_numpy(), tried.astype(np.float64), of)
