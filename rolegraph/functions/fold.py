@@ -2,8 +2,8 @@
 
 Folding casefolds and decomposes a text (twice, as each can undo the other), drops combining marks
 and writes some Latin letters that don't decompose with plain ones.  As a Spark expression that is
-one `translate` and a few `replace` calls, so it stays in generated code; its table is computed here
-from the Unicode database.  Signs that fold to several others outside the Latin blocks stay as they
+one `translate` and a few `replace` calls, and `lower` alone for plain ASCII, so it stays in generated
+code; its table is computed here from the Unicode database.  Signs that fold to several others outside the Latin blocks stay as they
 are in both forms, so a column and a literal always agree.
 """
 
@@ -58,7 +58,8 @@ def folded(col: Column) -> Column:
     many = out
     for c, f in several.items():
         many = F.replace(many, F.lit(c), F.lit(f))
-    return F.when(out.rlike(wide), many).otherwise(out)
+    full = F.when(out.rlike(wide), many).otherwise(out)
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(full)  # plain ASCII needs no table
 
 
 def name_key(text: str) -> str:
