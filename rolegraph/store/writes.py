@@ -228,7 +228,8 @@ class Writer:
         cls, ids = self.bound.get(s.source, ("", []))
         if not ids:
             raise self.fail(s, f"{s.source} stands for no node")
-        members = self.store.records().where((F.col("op") == "node") & F.col("id").isin(ids)).select("nid", "cls").collect()
+        wanted = self.store.spark.createDataFrame([(i,) for i in ids], "id string")
+        members = self.store.records().where(F.col("op") == "node").join(wanted, "id", "left_semi").select("nid", "cls").collect()
         if len({m.cls for m in members}) > 1:
             raise self.fail(s, "compact takes nodes of one class")
         cls = members[0].cls
