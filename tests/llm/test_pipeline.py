@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from rolegraph.llm import _spark as S
 
 from .conftest import prose
 from .test_jaccard import brute, family
@@ -38,7 +39,9 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert seen[2] == want
     want -= {len(every) - 1}
     assert seen[3] == want
+    before = set(S._tables)
     pieces = C.run(spark, d)
+    assert {p.rpartition("/")[2].rpartition("-")[0] for p in set(S._tables) - before} == {f"pipeline-{n}" for n, _ in C.STAGES[:-1]}  # the others are deleted
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == want
     assert pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").count() == 0
 
