@@ -18,6 +18,11 @@ into parts of PART_TOKENS shingles.
 Matrix.  A row is a shingle of a prefix, its columns are the parts that hold it, with the sizes and
 places found there.  Two parts whose columns meet in a row with room for the overlap are a cell.
 
+Sifting.  Parts of a large corpus meet by chance far more often than their members are linked, and
+sets are as large as the texts.  So what meets is first held against each other by signatures, counts
+of a set's shingles in some buckets (a quarter of a byte a shingle at most): the lesser counts add up
+to a bound of the overlap.  Only classes that keep a partner by this bound send their sets.
+
 Asking.  To open a part is to compare queries with its members: the part's token union bounds each
 query's overlap with any member, and only queries whose bound reaches what the smallest fitting
 member needs are compared, a block at a time.  A block passes over members that are connected with
@@ -62,6 +67,10 @@ SEEN = 100_000
 AT_ONCE = 128
 DENSE = 12
 DENSE_CELLS = 8 << 20
+#: Buckets of a signature at least (others have 2 to 4 shingles a bucket), and the greatest count that it holds.
+BUCKETS, MOST = 32, 15
+#: Counts that are compared at once, and pairs of a part and salt that are sifted one by one; past that its union decides.
+SIFT_CELLS, SIFT_PAIRS = 4 << 20, 8 << 20
 
 _SALT = stream(29, KEYS) | np.uint64(1)
 
@@ -189,6 +198,93 @@ def _sets(naming: Naming):
     return run
 
 
+def signature_sizes(n: np.ndarray) -> np.ndarray:
+    """Buckets of the signatures of sets of n: powers of two, at most one step apart where two sets can be linked."""
+    return np.maximum(BUCKETS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64))
+
+
+def signatures(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of each set fall in each of its buckets, MOST at most, two counts a byte; and where each set's bytes begin."""
+    n = np.diff(begin)
+    m = signature_sizes(n)
+    first = np.concatenate(([0], np.cumsum(m)))
+    low = sets >> np.uint64(32)  # a bucket is a run of these 32 bits, so that neighbours add up to the next coarser one
+    counts = np.bincount(np.repeat(first[:-1], n) + ((low * np.repeat(m, n).astype(np.uint64)) >> np.uint64(32)).astype(np.int64), minlength=first[-1])
+    counts = np.minimum(counts, MOST).astype(np.uint8)
+    return counts[0::2] << 4 | counts[1::2], first // 2
+
+
+def _signatures(naming: Naming):
+    """(class, n, signature), about once for each class of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(1)):
+                sets, begin, own = naming.sets(data, offsets)
+                packed = binary_list(*signatures(sets, begin))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(begin)), packed], names=["class", "n", "signature"]).filter(pa.array(_first_seen(seen, own)))
+
+    return run
+
+
+def sift(size: np.ndarray, packed: list[bytes], label: np.ndarray, member: np.ndarray, own: bool) -> np.ndarray:
+    """Which members and queries of a part have a partner of another label that their signatures don't rule out.
+
+    Queries are held against members, and members against each other if own.  The overlap is at most
+    the sum of the lesser counts, and what either signature holds no count for.
+    """
+    asks, held = np.flatnonzero(~member), np.flatnonzero(member)
+    buckets = np.array([2 * len(x) for x in packed])
+    raw = [np.frombuffer(x, np.uint8) for x in packed]
+    fine = {int(m): np.flatnonzero(buckets == m) for m in np.unique(buckets)}
+    counts = {}
+    for m, at in fine.items():
+        both = np.stack([raw[i] for i in at])
+        counts[m] = np.stack((both >> 4, both & MOST), axis=2).reshape(len(at), m)
+    place, spare = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    for m, at in fine.items():
+        place[at], spare[at] = np.arange(len(at)), size[at] - counts[m].sum(axis=1, dtype=np.int64)
+
+    def coarse(at: np.ndarray, m: int, to: int) -> np.ndarray:
+        return counts[m][place[at]].reshape(len(at), to, m // to).sum(axis=2, dtype=np.uint8)
+
+    keep = np.zeros(len(size), dtype=bool)
+    many = (len(asks) + own * len(held)) * len(held) > SIFT_PAIRS
+    for m, at in fine.items():
+        for other in (m // 2, m, 2 * m):
+            to = min(m, other)
+            near = fine[other][member[fine[other]]] if other in fine else at[:0]
+            if not len(near):
+                continue
+            rows, theirs = at if own else at[~member[at]], coarse(near, other, to)
+            if many:  # the members' union of counts is one partner, as small as the least of them; members stay
+                most, least, extra = theirs.max(axis=0), size[near].min(), spare[near].max()
+                step = max(1, SIFT_CELLS // to)
+                for k in range(0, len(rows), step):
+                    r = rows[k : k + step]
+                    bound = np.minimum(coarse(r, m, to), most).sum(axis=1, dtype=np.int64) + spare[r] + extra
+                    fits = bound * (PER + TIMES) >= (size[r] + least) * TIMES
+                    keep[r[fits]] = True
+                    if fits.any():
+                        keep[near] = True
+                continue
+            step = max(1, SIFT_CELLS // (to * len(near)))
+            k = 0
+            rows = rows[~keep[rows] | ~member[rows]]  # a member that is kept already needs no other reason
+            while k < len(rows):
+                r = rows[k : k + step]
+                k += step
+                r = r[~keep[r] | ~member[r]]
+                if not len(r):
+                    continue
+                bound = np.minimum(coarse(r, m, to)[:, None], theirs).sum(axis=2, dtype=np.int64) + spare[r][:, None] + spare[near]
+                fits = (bound * (PER + TIMES) >= (size[r][:, None] + size[near]) * TIMES) & (label[r][:, None] != label[near])
+                keep[r[fits.any(axis=1)]] = True
+                keep[near[fits.any(axis=0)]] = True
+    return keep
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two ascending arrays of distinct values."""
     return len(np.intersect1d(a, b, assume_unique=True))
@@ -264,19 +360,9 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, as
     return out
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): links found by opening parts; rows come sorted by part and salt, members before queries."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part and salt; they come sorted by both."""
     key, held = None, []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        kind, own, ids, label = (np.concatenate([h[k] for h in held]) for k in range(4))
-        sets = [np.frombuffer(x, np.uint64) for h in held for x in h[4].to_pylist()]
-        members, asks = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        if len(members) and (len(asks) or own[members[0]] and len(members) > 1):
-            found = spanning_links(ids[members], [sets[i] for i in members], ids[asks], [sets[i] for i in asks], bool(own[members[0]]), label[np.concatenate((members, asks))])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
-
     for batch in batches:
         part, salt = batch["part"].to_numpy(), batch["salt"].to_numpy()
         cuts = np.flatnonzero((part[1:] != part[:-1]) | (salt[1:] != salt[:-1])) + 1 if len(part) else []
@@ -284,13 +370,33 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if s == e:
                 continue
             if key is not None and key != (part[s], salt[s]):
-                yield from flush()
+                yield pa.Table.from_batches(held)
                 held = []
             key = (part[s], salt[s])
-            one = batch.slice(s, e - s)
-            held.append((one["kind"].to_numpy(), one["own"].to_numpy(zero_copy_only=False), one["class"].to_numpy(), one["label"].to_numpy(), one["set"]))
+            held.append(batch.slice(s, e - s))
     if held:
-        yield from flush()
+        yield pa.Table.from_batches(held)
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose sets are compared, without their signatures."""
+    for rows in _by_part(batches):
+        member, own = rows["kind"].to_numpy() == 0, rows["own"].to_numpy()
+        if member.any() and (not member.all() or own.any()):
+            keep = sift(rows["n"].to_numpy(), rows["signature"].to_pylist(), rows["label"].to_numpy(), member, bool(own.any()))
+            yield from rows.drop_columns(["n", "signature"]).filter(pa.array(keep)).to_batches()
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links found by opening parts; rows come sorted by part and salt, members before queries."""
+    for rows in _by_part(batches):
+        kind, own, ids, label = (rows[c].to_numpy() for c in ("kind", "own", "class", "label"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+        members, asks = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        if len(members) and (len(asks) or own[members[0]] and len(members) > 1):
+            found = spanning_links(ids[members], [sets[i] for i in members], ids[asks], [sets[i] for i in asks], bool(own[members[0]]), label[np.concatenate((members, asks))])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
 def _if_small(side: DataFrame, row_bytes: int = 64) -> DataFrame:
@@ -360,12 +466,18 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     parts = members.groupBy("part").agg(F.count("*").alias("size"), F.min("first").alias("first"))
     asked = cells.select(F.explode(F.array("part_a", "part_b")).alias("part")).distinct()
     parts = written(parts.join(asked.withColumn("asked", F.lit(True)), "part", "left").where("asked or size > 1").drop("asked"), "jaccard-part-list")
-    # sets of the classes that some part or cell compares, each from one of its documents
-    wanted = members.join(parts.select("part"), "part", "left_semi").select("class")
-    ids = written(classes.join(wanted, "class", "left_semi").select("doc_id"), "jaccard-wanted")
-    sets = written(keep_ids(rows, ids, "left_semi").mapInArrow(_sets(naming), "class long, set binary"), "jaccard-sets")
     sizes = members.select("class", "n")
 
+    def read_again(wanted: DataFrame, function, schema: str, name: str) -> DataFrame:
+        """What function makes of the texts of the wanted classes, each from one of its documents."""
+        ids = written(classes.join(wanted, "class", "left_semi").select("doc_id"), "jaccard-wanted")
+        out = written(keep_ids(rows, ids, "left_semi").mapInArrow(function, schema), name)
+        release(spark, ids)
+        return out
+
+    # signatures of the classes that some part or cell compares
+    marks = read_again(members.join(parts.select("part"), "part", "left_semi").select("class"), _signatures(naming), "class long, n long, signature binary", "jaccard-signatures")
+
     def opened(asks: DataFrame, own: bool, told: DataFrame | None = None) -> DataFrame:
         """Links from opening parts: asks is a written table (class, part); own: members ask their own part too; told: members with the labels they have."""
         many = asks.join(sizes, "class").groupBy("part").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > PART_TOKENS)
@@ -377,10 +489,14 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         asking = asks.join(many, "part", "left").select("part", F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(False).alias("own"), "class")
         lines = held.union(asking)
         lines = lines.withColumn("label", F.col("class")) if told is None else lines.join(_if_small(told.select("class", "label")), "class")
-        lines = written(lines, "jaccard-lines")  # narrow, so that sets move once
-        full = sets.join(_if_small(lines), "class").select("part", "salt", "kind", "own", "class", "label", "set")
-        out = written(full.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_open, "a long, b long"), "jaccard-links")
-        release(spark, lines)
+        lines = written(lines, "jaccard-lines")  # narrow, so that signatures move once
+        narrow = ["part", "salt", "kind", "own", "class", "label"]
+        dealt = lambda full: full.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind")
+        kept = dealt(marks.join(_if_small(lines), "class").select(*narrow, "n", "signature")).mapInArrow(_sift, lines.select(*narrow).schema)
+        kept = written(kept, "jaccard-kept")
+        sets = read_again(kept.select("class"), _sets(naming), "class long, set binary", "jaccard-sets")
+        out = written(dealt(sets.join(_if_small(kept), "class").select(*narrow, "set")).mapInArrow(_open, "a long, b long"), "jaccard-links")
+        release(spark, lines, kept, sets)
         return out
 
     asks = written(members.where("part <> first").select("class", F.col("first").alias("part")), "jaccard-asks")
@@ -409,7 +525,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         both = written(links.union(more), "jaccard-links")
         release(spark, links, more, components)
         links, components = both, connected_components(both, "jaccard-components")
-    release(spark, asks, told, state, links, cells, parts, ids, sets, members)
+    release(spark, asks, told, state, links, cells, parts, marks, members)
     out = written(classes.select("class", "docs", "doc_id").join(_if_small(components.withColumnRenamed("node", "class")), "class", "left"), "jaccard-linked")
     release(spark, components, classes)
     return named.select("doc_id", "mark", "n", "class"), out

@@ -164,3 +164,55 @@ def test_a_family_grows_in_proportion(spark, monkeypatch):
         seen[n] = {k: v for k in ("jaccard-links", "jaccard-asks", "jaccard-entries") for v in [sum(made[k][:2])]}
     for n, v in seen.items():  # the pairs that are linked grow with the square
         assert v["jaccard-links"] <= 3 * n and v["jaccard-asks"] <= 2 * n and v["jaccard-entries"] <= 8 * n, seen
+
+
+def linked(a, b):
+    return M.common(a, b) * 9 >= (len(a) + len(b)) * 4
+
+
+@pytest.mark.parametrize("pairs", [8 << 20, 10])
+@pytest.mark.parametrize("most", [15, 1])
+def test_signatures_never_part_what_is_linked(monkeypatch, pairs, most):
+    monkeypatch.setattr(M, "SIFT_PAIRS", pairs)
+    monkeypatch.setattr(M, "MOST", most)  # nearly every count is cut at 1, so sets go by what is not counted
+    rng = random.Random(7)
+    sets, label = [], []
+    for f, n in enumerate([1, 2, 3, 9, 60, 118, 127, 128, 129, 130, 140, 500, 520, 2000]):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        for _ in range(5):
+            s = set(base) - set(rng.sample(base, rng.randrange(n // 7 + 1))) | {rng.getrandbits(64) for _ in range(rng.randrange(n // 7 + 1))}
+            sets.append(M.np.array(sorted(s), dtype=M.np.uint64))
+            label.append(f * 100 + rng.randrange(4))
+    alone = len(sets)  # from here on no set shares anything with another
+    sets += [M.np.array(sorted(rng.getrandbits(64) for _ in range(rng.randrange(300, 600))), dtype=M.np.uint64) for _ in range(40)]
+    label += range(10_000, 10_040)
+    begin = M.np.concatenate(([0], M.np.cumsum([len(s) for s in sets])))
+    packed = M.binary_list(*M.signatures(M.np.concatenate(sets), begin)).to_pylist()
+    size, label = M.np.diff(begin), M.np.array(label)
+    for own in (True, False):
+        member = M.np.array([rng.random() < 0.6 for _ in sets])
+        keep = M.sift(size, packed, label, member, own)
+        need = {i for i in range(len(sets)) for j in range(len(sets)) if label[i] != label[j] and linked(sets[i], sets[j]) and (member[i] != member[j] or own and member[i])}
+        assert need and need <= set(M.np.flatnonzero(keep))
+        if most == 15 and pairs > 10:
+            assert not keep[alone:].any()
+
+
+def test_sets_move_only_where_signatures_agree(spark, monkeypatch):
+    made = {}
+    was = M.written
+
+    def counting(df, name):
+        out = was(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(M, "written", counting)
+    rows = []
+    for g in range(20):  # seven texts, each two of which share a passage: their prefixes meet, their sets are far apart
+        shared = {(i, j): [f"g{g}p{i}{j}w{k}" for k in range(40)] for i in range(7) for j in range(i)}
+        rows += [" ".join(w for pair, words in shared.items() if i in pair for w in words) for i in range(7)]
+    rows = list(enumerate(rows + family(8, 6, 80, 1)))
+    got = M.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    assert made["jaccard-cells"] > 60 and made["jaccard-sets"] <= 12, made
