@@ -11,8 +11,9 @@ distribution over the same texts, and
 
     score = log10 P(classes) + base score - sum of the classes' base log10 probabilities.
 
-Baum-Welch starts from a bounded sample (SAMPLE texts, in runs of RUN tokens) on the driver, where
-random states drift apart cheaply, and then runs ROUNDS times over all training texts: every task
+Training reads all training texts each time.  It starts from how often each class stands before each
+of CONTEXTS buckets of classes, a table of fixed size that all tasks add to: on the driver, states
+drift apart until their mixture explains this table.  Then Baum-Welch runs ROUNDS times: every task
 runs the scaled forward and backward recursions over its whole texts and sends its expected counts,
 which are summed in two steps.  Scoring runs the scaled forward recursion over each whole text.
 
@@ -38,15 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._spark import drawn, release, small_batches, written
+from rolegraph.llm._spark import release, small_batches, written
 from rolegraph.llm._text import Words, binary_list, give_back, int64, mix64, text_slices
 
 STATES = 8
 OWN_COUNT, OWN_MOST = 200, 8_192
 ENDINGS = 512
 HEAD = 1 << 18
-SAMPLE = 800
-SAMPLE_STEPS = 25
+#: Buckets of the class that follows, and steps of the mixture over the whole table.
+CONTEXTS = 64
+CONTEXT_STEPS = 200
 ROUNDS = 2
 RUN = 128
 #: Tokens that a task holds at once, about: while scoring, while training.
@@ -204,14 +206,49 @@ def begin_model(base: np.ndarray, sample: list[np.ndarray], states: int, steps:
     return model
 
 
+def split_states(model: Hmm, follows: np.ndarray, base: np.ndarray, steps: int) -> Hmm:
+    """The model with the starts and emissions of a mixture over (class, bucket of the next class), fitted to all their counts."""
+    if not follows.any():
+        return model
+    share, emit = model.start, model.emit
+    after = emit @ follows
+    after /= after.sum(axis=1, keepdims=True)
+    for _ in range(steps):
+        ratio = follows / np.maximum((share[:, None] * emit).T @ after, 1e-300)
+        own, after = emit * (share[:, None] * (after @ ratio.T)), after * (share[:, None] * (emit @ ratio))
+        mass = own.sum(axis=1)
+        share, after = mass / mass.sum(), after / np.maximum(after.sum(axis=1, keepdims=True), 1e-300)
+        emit = own / np.maximum(mass[:, None], 1e-300)
+    emit = own + SMOOTH * base
+    return Hmm((mass + 1) / (mass + 1).sum(), model.move, emit / emit.sum(axis=1, keepdims=True))
+
+
+def _follows(width: int):
+    """(part, counts): a task's counts of each class before each bucket of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * CONTEXTS, dtype=np.int64)
+        bucket = (mix64(np.arange(width, dtype=np.uint64)) % np.uint64(CONTEXTS)).astype(np.int64)
+        some = False
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                classes = np.frombuffer(x, np.int16).astype(np.int64)
+                np.add.at(total, classes[:-1] * CONTEXTS + bucket[classes[1:]], 1)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 8], pa.int32()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part", "counts"])
+
+    return run
+
+
 def _sequences(lexicon):
-    """(pick, classes as int16) of every text."""
+    """Classes of every text, as int16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for _, _, data, offsets in text_slices(batch.column(0)):
                 classes, begin, _, _ = lexicon.value.sequence(Words(data, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary_list(classes, begin)], names=["pick", "classes"])
+                yield pa.RecordBatch.from_arrays([binary_list(classes, begin)], names=["classes"])
 
     return run
 
@@ -339,12 +376,15 @@ def score_lm(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc
     lexicon = share(Lexicon(words, c, own, n_own, float(np.log10(texts + 0.5)), total, float(np.log10(scale)), np.log10(by_class / scale)))
     base = by_class / by_class.sum()
 
-    sequences = written(train.select(drawn("doc_id", SAMPLE, texts).alias("pick"), "text").mapInArrow(_sequences(lexicon), "pick boolean, classes binary"), "lm-sequences")
-    sample = sorted(bytes(r.classes) for r in sequences.where("pick").select("classes").toLocalIterator())
-    model = begin_model(base, [np.frombuffer(x, np.int16) for x in sample], states, SAMPLE_STEPS)
+    sequences = written(train.select("text").mapInArrow(_sequences(lexicon), "classes binary"), "lm-sequences")
+
+    def summed(function) -> list:
+        return sorted(sequences.mapInArrow(function, "part int, counts binary").groupBy("part").applyInArrow(_sum, "part int, counts binary").collect(), key=lambda r: r.part)  # 32 rows at most
+
+    follows = sum((np.frombuffer(r.counts) for r in summed(_follows(len(base)))), np.zeros(len(base) * CONTEXTS))
+    model = split_states(begin_model(base, [], states, 0), follows.reshape(len(base), CONTEXTS), base, CONTEXT_STEPS)
     for _ in range(rounds if texts else 0):
-        parts = sequences.select("classes").mapInArrow(_expected(share(model)), "part int, counts binary").groupBy("part").applyInArrow(_sum, "part int, counts binary").collect()  # 32 rows at most
-        flat = sum(np.frombuffer(r.counts) for r in sorted(parts, key=lambda r: r.part))
+        flat = sum(np.frombuffer(r.counts) for r in summed(_expected(share(model))))
         k = states
         model = reestimate(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, len(base)), base)
 

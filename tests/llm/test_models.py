@@ -146,3 +146,30 @@ def test_whole_texts_train_without_cuts():
     classes, begin = rng.integers(0, 6, 900), np.array([0, 1, 500, 900])
     starts, moves, emits, like = m.expect(classes, begin)
     assert starts.sum() == pytest.approx(3) and moves.sum() == pytest.approx(897) and like == pytest.approx(m.log10(classes, begin).sum())
+
+
+def test_the_start_counts_every_training_text(spark, monkeypatch):
+    seen = []
+    was = hmm.split_states
+
+    def spy(model, follows, base, steps):
+        seen.append(follows)
+        return was(model, follows, base, steps)
+
+    monkeypatch.setattr(hmm, "split_states", spy)
+    rows = [(i, prose(i, 1 + i % 23)) for i in range(1_000)]  # more than the 800 that the start once drew
+    got = hmm.score_lm(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), F.col("doc_id") % 10 != 0, rounds=0).collect()
+    assert len(got) == 1_000 and all(math.isfinite(r.score) for r in got)
+    assert seen[0].sum() == sum(len(words(t)) for k, t in rows if k % 10)  # each word stands before a word or the end
+
+
+def test_states_split_by_what_follows():
+    rng = np.random.default_rng(4)
+    base = np.full(40, 1 / 40)
+    follows = np.zeros((40, 16))
+    follows[:20, :8], follows[20:, 8:] = rng.integers(50, 90, (20, 8)), rng.integers(50, 90, (20, 8))
+    m = hmm.split_states(hmm.begin_model(base, [], 2, 0), follows, base, 200)
+    one = m.emit[:, :20].sum(axis=1)
+    assert one.max() > 0.95 and one.min() < 0.05 and m.start.sum() == pytest.approx(1) and m.emit.sum(axis=1) == pytest.approx(1)
+    same = hmm.begin_model(base, [], 2, 0)
+    assert hmm.split_states(same, np.zeros((40, 16)), base, 5) is same
