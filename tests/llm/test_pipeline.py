@@ -89,3 +89,25 @@ def test_rows_that_share_a_key_have_a_fate_each(spark, tmp_path):
     assert left(C.exact_dedup) == sorted(((k, t) for k, t in rows if (k, t) not in ((600, prose(72, 50)), (None, item))), key=str)
     # near copies: 500 against null, and the equal texts of 600 and 700
     assert left(C.near_dedup) == sorted(((k, t) for k, t in rows if (k, t) not in ((None, twin), (700, prose(72, 50)), (None, item))), key=str)
+
+
+def test_near_dedup_moves_no_sets_of_what_meets_by_chance(spark, tmp_path, monkeypatch):
+    from rolegraph.llm import jaccard as M
+
+    made, was = {}, M.written
+
+    def counting(df, name):
+        out = was(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(M, "written", counting)
+    texts = []
+    for g in range(12):  # seven texts, each two of which share a passage
+        shared = {(i, j): [f"g{g}p{i}{j}w{k}" for k in range(40)] for i in range(7) for j in range(i)}
+        texts += [" ".join(w for pair, words in shared.items() if i in pair for w in words) for i in range(7)]
+    texts += family(8, 6, 80, 1)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in dict(C.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert got == {k for k, _, c in brute(list(enumerate(texts))) if k == c}
+    assert made["jaccard-cells"] > 30 and made["jaccard-sets"] <= 12, made
