@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -65,6 +66,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: until then the files of a shuffle stay on disk, though what it led to is written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() returns, as a scratch table; the tables that were written on the way are deleted."""
     before = set(_tables)

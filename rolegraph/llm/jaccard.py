@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._bloom import bloom, probe
-from rolegraph.llm._spark import connected_components, keep_ids, release, row_mark, small_batches, small_enough, written
+from rolegraph.llm._spark import connected_components, free_shuffles, keep_ids, release, row_mark, small_batches, small_enough, written
 from rolegraph.llm._text import Words, binary_list, distinct_per_doc, int64, mix64, shingles, stream, text_slices
 
 WIDTH = 5
@@ -185,6 +185,15 @@ def _prefixes(naming: Naming, levels, bits=None):
     return run
 
 
+def _among(bits, function):
+    """function over the rows whose third column, a hash, the filter has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batch.filter(pa.array(probe(bits.value, batch.column(2).to_numpy().view(np.uint64)))) for batch in batches)
+
+    return run
+
+
 def _sets(naming: Naming):
     """(class, set), about once for each class of a task."""
 
@@ -434,6 +443,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     met = rows.mapInArrow(_prefixes(naming, levels), "shingle long, class long, n int, place int")
     met = met.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle")
     met = written(met, "jaccard-shingles")
+    free_shuffles(spark)
     bits = spark.sparkContext.broadcast(bloom(met))
     entries = written(rows.mapInArrow(_prefixes(naming, levels, bits), "shingle long, class long, n int, place int"), "jaccard-entries")
     release(spark, met)
@@ -453,12 +463,16 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     release(spark, some, popular, grouped, large)
 
     # the matrix, of the shingles that several parts hold, and its cells
-    placed = entries.join(_if_small(members.select("class", "part")), "class")
+    placed = entries.join(_if_small(members.select("class", "part")), "class").select("shingle", "part", "n", (F.col("n") - F.col("place")).alias("room"))
+    placed = written(placed, "jaccard-placed")  # so that entries move by class once
+    release(spark, entries)
+    free_shuffles(spark)
     across = placed.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("shingle")
     across = written(across, "jaccard-across")
-    matrix = placed.join(_if_small(across), "shingle", "left_semi").groupBy("shingle", "part").agg(F.max(F.col("n") - F.col("place")).alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = placed.join(_if_small(across), "shingle", "left_semi").groupBy("shingle", "part").agg(F.max("room").alias("room"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = written(matrix, "jaccard-matrix")
-    release(spark, entries, across)
+    release(spark, placed, across)
+    free_shuffles(spark)
     a, b = (matrix.select("shingle", *(F.col(x).alias(f"{x}_{s}") for x in ("part", "room", "low", "high"))) for s in "ab")
     fit = f"part_a < part_b and least(room_a, room_b) * {PER + TIMES} >= (low_a + low_b) * {TIMES} and high_a * {PER} >= low_b * {TIMES} and high_b * {PER} >= low_a * {TIMES}"
     cells = written(a.join(b, "shingle").where(fit).select("part_a", "part_b").distinct(), "jaccard-cells")
@@ -469,10 +483,21 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     sizes = members.select("class", "n")
 
     def read_again(wanted: DataFrame, function, schema: str, name: str) -> DataFrame:
-        """What function makes of the texts of the wanted classes, each from one of its documents."""
+        """What function makes of the texts of the wanted classes, each from one of its documents.
+
+        Texts never move: where the ids are too many to broadcast, a filter of them lets some more texts
+        in, whose classes the joins that follow leave out, or which repeat the row of a wanted class.
+        """
         ids = written(classes.join(wanted, "class", "left_semi").select("doc_id"), "jaccard-wanted")
-        out = written(keep_ids(rows, ids, "left_semi").mapInArrow(function, schema), name)
+        if small_enough(ids):
+            found = keep_ids(rows, ids, "left_semi").mapInArrow(function, schema)
+        else:
+            hashed = F.xxhash64("doc_id").alias("hash")  # of a null as well
+            some = spark.sparkContext.broadcast(bloom(ids.select(hashed)))
+            found = rows.select("doc_id", "text", hashed).mapInArrow(_among(some, function), schema)
+        out = written(found, name)
         release(spark, ids)
+        free_shuffles(spark)
         return out
 
     # signatures of the classes that some part or cell compares
@@ -497,6 +522,7 @@ def similar_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         sets = read_again(kept.select("class"), _sets(naming), "class long, set binary", "jaccard-sets")
         out = written(dealt(sets.join(_if_small(kept), "class").select(*narrow, "set")).mapInArrow(_open, "a long, b long"), "jaccard-links")
         release(spark, lines, kept, sets)
+        free_shuffles(spark)
         return out
 
     asks = written(members.where("part <> first").select("class", F.col("first").alias("part")), "jaccard-asks")

@@ -111,3 +111,35 @@ def test_near_dedup_moves_no_sets_of_what_meets_by_chance(spark, tmp_path, monke
     got = {r.doc_id for r in dict(C.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
     assert got == {k for k, _, c in brute(list(enumerate(texts))) if k == c}
     assert made["jaccard-cells"] > 30 and made["jaccard-sets"] <= 12, made
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_near_dedup_moves_no_texts_past_the_broadcast_limit(spark, tmp_path, monkeypatch, full):
+    from rolegraph.llm import jaccard as M
+
+    plans, was = {}, M.written
+
+    def noting(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return was(df, name)
+
+    monkeypatch.setattr(M, "written", noting)
+    monkeypatch.setattr(M, "small_enough", lambda *_: False)
+    if full:  # a filter that lets every text in
+        monkeypatch.setattr(M, "bloom", lambda _: M.np.full(1 << 12, 255, M.np.uint8))
+    texts = [t for f in range(6) for t in family(f, 9, 60 + 9 * f, 2)] + [prose(900 + i, 50) for i in range(9)] + ["", None]
+    texts += texts[3:9]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0] + " more"), (None, prose(990, 40))], "doc_id long, text string").repartition(3)
+    rows = sorted(map(tuple, docs.collect()), key=str)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        kept = sorted(map(tuple, dict(C.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()), key=str)
+    finally:
+        spark.conf.set(limit, before)
+    assert [k for k, _ in kept if k is not None] == [k for k, _, c in brute(rows) if k == c and k is not None]
+    assert [t for k, t in kept if k is None] == [prose(990, 40)]
+    for name in ("jaccard-signatures", "jaccard-sets"):
+        assert plans[name] and not any("Join" in p for p in plans[name]), name
+    assert not any("class#" in p for p in plans["jaccard-across"] + plans["jaccard-matrix"])  # entries moved by class before, once
