@@ -1,4 +1,4 @@
-"""Chunks of a text: by heading, then by paragraph up to a number of tokens; a longer paragraph is cut."""
+"""Chunks of a text: by heading, then by paragraph up to a number of tokens; a paragraph with more signs than those is cut."""
 
 from __future__ import annotations
 
@@ -27,11 +27,11 @@ def split(text: str, limit: int = TOKENS) -> list[tuple[str, int]]:
                 held = ""
             if not held:
                 start = at
+                while len(part) > limit * TOKEN:
+                    out.append((part[: limit * TOKEN], start))
+                    start += limit * TOKEN
+                    part = part[limit * TOKEN :]
             held = f"{held}\n\n{part}" if held else part
-            while tokens(held) > limit:
-                out.append((held[: limit * TOKEN], start))
-                start += limit * TOKEN
-                held = held[limit * TOKEN :]
         if held.strip():
             out.append((held, start))
     return out

@@ -201,6 +201,13 @@ def test_chunks():
     assert "".join(t for t, _ in split("y" * 5000)) == "y" * 5000
 
 
+@pytest.mark.parametrize("n", [2400, 2401, 2403, 2404, 4800, 4803, 12001])
+def test_a_long_paragraph_is_cut_at_every_2400_signs(n):
+    assert [(at, len(t)) for t, at in split("z" * n)] == [(at, min(2400, n - at)) for at in range(0, n, 2400)]
+    # paragraphs that fit together by tokens stay together
+    assert [(at, len(t)) for t, at in split("a" * 1200 + "\n\n" + "b" * 1201)] == [(0, 2403)]
+
+
 def test_stage_extract_and_feed(spark, store, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
