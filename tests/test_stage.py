@@ -47,3 +47,10 @@ def test_staging_by_tasks_equals_one_by_one(spark, tmp_path):
         blob = Session(many).rows('find chunk where state = blob as c\nreturn c.id')
         assert blob and "refine" in Session(many).execute(f'derive class grain from entity with {{grams: int}}\nrefine {blob[0][0]} into grain with {{name: col "kind", grams: col "grams"}} as g')
         assert sorted(Session(many).rows("find grain as g\nreturn g.name, g.grams")) == [["oat", 3], ["rye", 2]]
+
+
+def test_prose_with_commas_in_each_line_is_staged_as_text(spark, tmp_path):
+    prose = "Over the hill, under the bridge.\nAlong the river, past the mill."
+    with Store(spark, str(tmp_path / "a"), Catalog.standard()) as store:
+        assert stage_files(store, frame(spark, [("p.txt", prose), ("t.csv", "kind,grams\nrye,2\noat,3\n")]))[0] == 2
+        assert Session(store).rows('find chunk where state = atom as c\nfollow c part_of whole as d\nreturn d.title, d.mime, c.ord, c.text') == [["p.txt", "text", 0, prose]]
