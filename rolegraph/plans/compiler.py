@@ -19,11 +19,11 @@ from rolegraph.functions.fold import folded
 from rolegraph.functions.predicates import Resolved, condition
 from rolegraph.lang import tree as T
 from rolegraph.operators.health import ABSENT as SOUND
-from rolegraph.operators.reach import reach
+from rolegraph.operators.reach import reach, reach_counts
 from rolegraph.sources.relations import SPARK_TYPES
 
 #: Rewrites that never change a result; tests switch them off.
-REWRITES = {"semi": True, "anti": True, "once": True}
+REWRITES = {"semi": True, "anti": True, "once": True, "counted": True}
 
 
 @dataclass
@@ -32,6 +32,7 @@ class Bound:
     cls: str = ""
     type: str = ""
     multi: bool = False
+    counted: str = ""  # a node of which there is only this column, the number of those that a row would have
 
 
 @dataclass
@@ -142,6 +143,8 @@ class Compiler:
                     if self.is_anti(s, rest):
                         state = self.follow(state, s, rest, "left_anti")
                         i += 1
+                    elif not branches and self.is_counted(state, s, rest):
+                        state = self.follow(state, s, rest, "counted")
                     else:
                         state = self.follow(state, s, rest, "left" if s.optional else "left_semi" if self.is_semi(state, s, rest) else "inner")
                 elif isinstance(s, T.GroupBy):
@@ -226,6 +229,17 @@ class Compiler:
             return False
         return rest[0].cond == ((T.Clause((s.name,), "=", T.ABSENT),),) and rest[0].name != s.name and not self.used(s.name, rest[1:])
 
+    def is_counted(self, state: State, s: T.Follow, rest: list[T.Stmt]) -> bool:
+        """Whether only the number of distinct nodes reached from each source matters: it is grouped by the source, and rows aren't counted."""
+        groups = [r for r in rest if isinstance(r, T.GroupBy)]
+        if not REWRITES["counted"] or s.upto is not None or s.optional or s.name in state.bound or len(groups) != 1 or groups[0].path != (s.source,):
+            return False
+        numbers = [r for r in rest if isinstance(r, T.Aggregate)]
+        own = [r for r in numbers if r.verb == "count" and r.distinct and r.path == (groups[0].name, s.name)]
+        if not own or any(isinstance(r, T.Or) for r in rest) or self.used(s.name, [r for r in rest if all(r is not o for o in own)]):
+            return False
+        return all((r.distinct or r.verb in ("min", "max")) and r.path[0] == groups[0].name for r in numbers)
+
     def follow(self, state: State, s: T.Follow, rest: list[T.Stmt], how: str) -> State:
         edge = self.catalog.edges[s.edge]
         depart = edge.other(s.role)
@@ -237,10 +251,17 @@ class Compiler:
         nodes = self.renamed(self.frame(cls, self.wants_health(s.name, s.cond, None, rest)), y)
         test = condition(s.cond, lambda p: (F.col(f"__via{k}__{p[1]}"), edge.props[p[1]], False) if p[0] == "via" else self.prop(cls, p, f"{y}__"))
         edges = self.graph.edges(s.edge)
+        if how == "counted":
+            right = reach_counts(state.df.select(s.source), edges, depart, s.role, nodes.where(test).select(y))
+            df = state.df.join(right.select(F.col("src").alias(f"__d{k}"), F.col("n").alias(f"__n{k}")), F.col(s.source) == F.col(f"__d{k}")).drop(f"__d{k}")
+            state.bound[s.name] = Bound("node", cls, counted=f"__n{k}")
+            return State(df, state.bound, state.rank, state.walked, state.group)
         if s.upto == 1:
             right = edges.select(F.col("eid").alias(f"__e{k}"), F.col(depart).alias(f"__d{k}"), F.col(s.role).alias(f"__a{k}"), *(F.col(p).alias(f"__via{k}__{p}") for p in edge.props))
         else:
-            right = reach(state.df.select(s.source), edges, depart, s.role, s.upto).select(F.col("src").alias(f"__d{k}"), F.col("node").alias(f"__a{k}"), F.col("node").alias(f"__e{k}"))
+            sources = state.df.select(s.source)
+            pairs = reach(sources, edges, depart, s.role, s.upto)
+            right = pairs.select(F.col("src").alias(f"__d{k}"), F.col("node").alias(f"__a{k}"), F.col("node").alias(f"__e{k}"))
         right = right.join(nodes, F.col(f"__a{k}") == F.col(y)).where(test).drop(f"__a{k}", *(f"__via{k}__{p}" for p in edge.props))
         on = F.col(s.source) == F.col(f"__d{k}")
         if again:
@@ -319,6 +340,8 @@ class Compiler:
 
     def measure(self, state: State, verb: str, path: T.Path, distinct: bool) -> tuple[Column | None, str]:
         """An aggregate as a column, or None where it needs its own rows (sum and avg over distinct nodes)."""
+        if state.bound[path[0]].counted:
+            return F.max(state.bound[path[0]].counted), "int"
         col, kind, _ = self.column(state, path)
         root = F.col(path[0])
         node = state.bound[path[0]].kind == "node"
