@@ -19,7 +19,7 @@ from rolegraph.functions.fold import folded
 from rolegraph.functions.predicates import Resolved, condition
 from rolegraph.lang import tree as T
 from rolegraph.operators.health import ABSENT as SOUND
-from rolegraph.operators.reach import reach, reach_counts
+from rolegraph.operators.reach import reach, reach_counts, reach_self
 from rolegraph.sources.relations import SPARK_TYPES
 
 #: Rewrites that never change a result; tests switch them off.
@@ -260,7 +260,7 @@ class Compiler:
             right = edges.select(F.col("eid").alias(f"__e{k}"), F.col(depart).alias(f"__d{k}"), F.col(s.role).alias(f"__a{k}"), *(F.col(p).alias(f"__via{k}__{p}") for p in edge.props))
         else:
             sources = state.df.select(s.source)
-            pairs = reach(sources, edges, depart, s.role, s.upto)
+            pairs = reach_self(sources, edges, depart, s.role) if s.upto is None and s.name == s.source else reach(sources, edges, depart, s.role, s.upto)
             right = pairs.select(F.col("src").alias(f"__d{k}"), F.col("node").alias(f"__a{k}"), F.col("node").alias(f"__e{k}"))
         right = right.join(nodes, F.col(f"__a{k}") == F.col(y)).where(test).drop(f"__a{k}", *(f"__via{k}__{p}" for p in edge.props))
         on = F.col(s.source) == F.col(f"__d{k}")

@@ -54,7 +54,7 @@ def ring(spark, n):
     return Session(g)
 
 
-@pytest.mark.parametrize("program,rows", [("find item as a\nfollow a next to upto any as b\ngroup by a as g\ncount distinct g.b as n\nreturn a.name, n", 200), ("find item as a\nfollow a next to upto any as b\nreturn a.name, b.name", 40000)])
+@pytest.mark.parametrize("program,rows", [("find item as a\nfollow a next to upto any as b\ngroup by a as g\ncount distinct g.b as n\nreturn a.name, n", 200), ("find item as a\nfollow a next to upto any as a\nreturn a.name", 200), ("find item as a\nfollow a next to upto any as b\nreturn a.name, b.name", 40000)])
 def test_a_long_ring_takes_few_rounds(spark, monkeypatch, program, rows):
     written, stored = [], operator.stored
     monkeypatch.setattr(operator, "stored", lambda df, name: written.append(name) or stored(df, name))
