@@ -82,3 +82,19 @@ def test_counting_without_pairs_changes_no_result(spark, monkeypatch, program):
     monkeypatch.setattr(compiler, "REWRITES", {**compiler.REWRITES, "counted": False})
     slow = s.rows(program)
     assert fast == slow if "order by" in program else sorted(map(tuple, fast)) == sorted(map(tuple, slow))
+
+
+def comb(spark, n):
+    """A tree of n levels: 2k holds 2k + 1 and 2k + 2."""
+    g = Relations(spark)
+    g.add_class("item", spark.range(2 * n).selectExpr("id as k", "id as number"), "k")
+    g.add_edge("holds", spark.range(1, 2 * n).selectExpr("id - 2 + id % 2 as a", "id as b"), {"whole": ("item", "a"), "piece": ("item", "b")}, unique=True)
+    return Session(g)
+
+
+def test_wholes_of_a_deep_tree_take_few_rounds(spark, monkeypatch):
+    written, stored = [], operator.stored
+    monkeypatch.setattr(operator, "stored", lambda df, name: written.append(name) or stored(df, name))
+    got = comb(spark, 60).rows("find item as q\nfollow q holds whole upto any as p\ngroup by q as g\ncount distinct g.p as n\nreturn q.number, n")
+    assert sorted(got) == [[k, k // 2 + k % 2] for k in range(1, 120)]
+    assert len(written) < 30  # one a level would be 60
