@@ -98,3 +98,11 @@ def test_wholes_of_a_deep_tree_take_few_rounds(spark, monkeypatch):
     got = comb(spark, 60).rows("find item as q\nfollow q holds whole upto any as p\ngroup by q as g\ncount distinct g.p as n\nreturn q.number, n")
     assert sorted(got) == [[k, k // 2 + k % 2] for k in range(1, 120)]
     assert len(written) < 30  # one a level would be 60
+
+
+def test_pieces_of_a_deep_tree_take_few_rounds(spark, monkeypatch):
+    written, stored = [], operator.stored
+    monkeypatch.setattr(operator, "stored", lambda df, name: written.append(name) or stored(df, name))
+    got = comb(spark, 60).rows("find item as p\nfollow p holds piece upto any as q\ngroup by p as g\ncount distinct g.q as n\nreturn p.number, n")
+    assert sorted(got) == [[k, 119 - k] for k in range(0, 119, 2)]
+    assert len(written) < 35  # one a level would be 60
