@@ -23,7 +23,7 @@ from rolegraph.operators.reach import reach, reach_counts, reach_self
 from rolegraph.sources.relations import SPARK_TYPES
 
 #: Rewrites that never change a result; tests switch them off.
-REWRITES = {"semi": True, "anti": True, "once": True, "counted": True}
+REWRITES = {"semi": True, "anti": True, "once": True, "counted": True, "late": True}
 
 
 @dataclass
@@ -445,9 +445,14 @@ class Compiler:
         if once is None:
             df = state.df.groupBy(*keys).agg(*plain, F.min(order).alias("__first"), *carried)
         else:
-            names = [c for n in state.bound for c in state.df.columns if (c == n or c.startswith(f"{n}__")) and n not in {a.name for a in wanted}]
-            rows = state.df.groupBy(*keys, F.col(once).alias("__once")).agg(*(c for x, _, _ in steps for c in x), F.min(order).alias("__first"), *(F.min_by(c, order).alias(c) for c in names))
+            nodes = self.fetched(state, key_head) if by_node else None
+            names = [c for n in state.bound for c in state.df.columns if (c == n or c.startswith(f"{n}__")) and n not in {a.name for a in wanted} and (nodes is None or n != key_head)]
+            # dealt out by a number that isn't lowered: the tables of seen nodes stay small, and apart from those of the joins before
+            dealt = state.df.repartition(int(self.graph.spark.conf.get("spark.sql.shuffle.partitions")), key_col, F.col(once))
+            rows = dealt.groupBy(*keys, F.col(once).alias("__once")).agg(*(c for x, _, _ in steps for c in x), F.min(order).alias("__first"), *(F.min_by(c, order).alias(c) for c in names))
             df = rows.groupBy("__k0").agg(*(y.alias(a.name) for a, (_, y, _) in zip(wanted, steps)), F.min("__first").alias("__f"), *(F.min_by(c, "__first").alias(c) for c in names)).withColumnRenamed("__f", "__first")
+            if nodes is not None:  # aggregates over whole numbers are hashed; with text they sort all rows
+                df = df.join(nodes, F.col("__k0") == F.col(key_head), "left").drop(key_head).withColumn(key_head, F.col("__k0"))
             made = {a.name: Bound("value", type=k) for a, (_, _, k) in zip(wanted, steps)}
         for i, other in enumerate(extra):
             df = df.join(other, F.col("__k0").eqNullSafe(F.col(f"__j{i}")), "left").drop(f"__j{i}")
@@ -457,6 +462,16 @@ class Compiler:
         state.bound = {**state.bound, **made}
         state.rank = [("__first", False)]
 
+    def fetched(self, state: State, name: str) -> DataFrame | None:
+        """A bound node's columns by its id, each id once; None where the rows' columns may be from elsewhere."""
+        own = [c for c in state.df.columns if c.startswith(f"{name}__")]
+        if not REWRITES["late"] or any(c == "__branch" for c, _ in state.rank):
+            return None
+        nodes = self.renamed(self.frame(state.bound[name].cls, any(c.startswith(f"{name}__health__") for c in own)), name)
+        if not set(own) <= set(nodes.columns):
+            return None
+        return nodes.groupBy(name).agg(*(F.any_value(c).alias(c) for c in own))
+
     # return
 
     def shown(self, state: State, path: T.Path) -> Column:

@@ -79,6 +79,36 @@ def test_rewrites_never_change_a_result(graph, program, monkeypatch):
     assert rows(graph, program) == fast
 
 
+SUMS = [
+    "find orchestra as o\nfollow o seat who as p or none\ngroup by o as g\nsum distinct g.p.age as total\navg distinct g.p.age as mean\nreturn o.name, o.id, o.country, total, mean",
+    "find player as p\nfollow p seat place as o or none\ngroup by o as g\nsum distinct g.p.age as total\nreturn o.name, total",
+    "find player as p\nfollow p mentors junior as q\ngroup by q as g\nsum distinct g.p.age as total\ncount g.p as n\nreturn g, q.health.structure, total, n order by total desc limit 3",
+    "find soloist as p\nfind player where age > 20 as p\nfollow p mentors junior as q\ngroup by p as g\nsum distinct g.q.age as total\nreturn p.name, total",
+    "find soloist as p\nor\nfind player where age > 40 as p\nsum p.age as n\nreturn n",
+    "find player as p\nfollow p mentors junior as q\nor\nfind soloist as p\nfollow p mentors junior as q\ngroup by p as g\nsum distinct g.q.age as total\nreturn p.name, total",
+]
+
+
+@pytest.mark.parametrize("program", SUMS)
+def test_fetching_a_groups_node_late_changes_no_result(graph, program, monkeypatch):
+    fast = rows(graph, program)
+    monkeypatch.setattr(compiler, "REWRITES", {**compiler.REWRITES, "late": False})
+    assert rows(graph, program) == fast
+
+
+def test_sums_over_distinct_nodes_sort_no_rows(spark):
+    from rolegraph.sources.relations import Relations
+
+    g = Relations(spark)
+    g.add_class("mill", spark.range(20).selectExpr("id as k", "concat('m', id) as name"), "k")
+    g.add_class("grain", spark.range(50).selectExpr("id as k", "concat('g', id) as name", "id % 7 as size"), "k")
+    g.add_edge("grinds", spark.range(400).selectExpr("id % 20 as a", "id % 50 as b"), {"by": ("mill", "a"), "what": ("grain", "b")}, unique=True)
+    df = Session(g).df("find mill as m\nfollow m grinds what as x\ngroup by m as g\nsum distinct g.x.size as total\navg distinct g.x.size as mean\nreturn m.name, total, mean")
+    by_both = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(key" in x and " x#" in x]
+    assert by_both and not any("SortAggregate" in x for x in by_both)
+    assert {r.m_name: r.total for r in df.collect()} == {f"m{i}": sum(x % 7 for x in {j % 50 for j in range(400) if j % 20 == i}) for i in range(20)}
+
+
 def test_random_programs(graph):
     r = random.Random(11)
     for _ in range(12):
